@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import licenses, quality_rules
 from .common import table
 from .near_dedup import near_duplicates
 from .packing import pack
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -23,5 +27,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_minhash, op8_quality_rules)}
-ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.oracle()}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_packing, op6_minhash, op8_quality_rules)}
+ORACLES: dict[str, str] = {"op1_license_scans": licenses.oracle(), "op8_quality_rules": quality_rules.oracle()}
