@@ -11,7 +11,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,18 +108,26 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_P, _PINV):
-        a = np.full(n, base, np.uint64)
-        a[0] = 1
-        out.append(np.cumprod(a, dtype=np.uint64))
-    return out[0], out[1]
+class _Kept(dict):
+    """Is sent to workers empty."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_POWERS = _Kept()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+    """The first powers of the polynomial's base and of its inverse, at least ``n``; the longest so far are kept."""
+    if "all" not in _POWERS or len(_POWERS["all"][0]) < n:
+        out = []
+        for base in (_P, _PINV):
+            a = np.full(1 << max(16, int(n).bit_length()), base, np.uint64)
+            a[0] = 1
+            out.append(np.cumprod(a, dtype=np.uint64))
+        _POWERS["all"] = out[0], out[1]
+    return _POWERS["all"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality_rules
+from . import licenses, mixing, quality_rules, topk, urls
 from .common import table
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -22,10 +22,23 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_packing, op6_minhash, op8_quality_rules)}
-ORACLES: dict[str, str] = {"op1_license_scans": licenses.oracle(), "op8_quality_rules": quality_rules.oracle()}
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_packing, op6_minhash, op7_mixing, op8_quality_rules, op9_url_filters, op10_top_k)}
+ORACLES: dict[str, str] = {"op1_license_scans": licenses.oracle(), "op8_quality_rules": quality_rules.oracle(), "op10_top_k": topk.ORACLE}
