@@ -9,12 +9,14 @@ depend on the batch the word is in.
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,12 @@ def keep_small(ids: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
 
 
+def share(spark: SparkSession, value):
+    """A function that gives workers the value, classes of this package included; sent to each executor once."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 # ---------------------------------------------------------------- folds and samples
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality_rules, topk, urls
-from .common import table
+from . import byte_cnn, language_id, licenses, mixing, quality_rules, topk, toxicity, urls
+from .common import fold, table
 from .near_dedup import near_duplicates
 from .packing import pack
 
@@ -18,6 +19,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
+    score = F.col("toxic_score")
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"), F.to_json("toxic_spans").alias("spans"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(documents.drop("lang"), language_id.learn(documents))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = byte_cnn.score(documents, byte_cnn.learn(documents, table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,5 +61,5 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_packing, op6_minhash, op7_mixing, op8_quality_rules, op9_url_filters, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_packing, op3_toxicity, op4_language_id, op5_quality_cnn, op6_minhash, op7_mixing, op8_quality_rules, op9_url_filters, op10_top_k)}
 ORACLES: dict[str, str] = {"op1_license_scans": licenses.oracle(), "op8_quality_rules": quality_rules.oracle(), "op10_top_k": topk.ORACLE}
