@@ -53,21 +53,19 @@ def words_of(text: str) -> str:
 
 
 def line_fails(line: str, rules: Rules) -> str:
-    """Whether a line with a word fails."""
+    """Whether a line with a word fails; each value that a lambda needs is bound outside it."""
     bars = ", ".join(map(_sql, BARS))
     phrases = " or ".join(f"contains(low, {_sql(p)})" for p in PHRASES)
     marks = "size(filter(w, x -> endswith(x, '!!') or endswith(x, '??') or endswith(x, '!?')))"
-    symbols = f"length(x.chars) - length(translate(x.chars, {_sql(SYMBOLS)}, ''))"
     again = "size(filter(w, (x, i) -> i > 0 and x = w[i - 1]))"
+    by_char = bound("array_join(w, '')", "c", f"100 * (length(c) - length(translate(c, {_sql(SYMBOLS)}, ''))) > {rules.symbols} * length(c)")
     by_word = f"100 * {marks} > {rules.marks} * size(w) or 100 * size(filter(w, x -> x in ({bars}))) > {rules.bars} * size(w) or (size(w) >= 4 and 100 * {again} > {rules.again} * size(w))"
-    by_char = f"100 * ({symbols}) > {rules.symbols} * length(x.chars)"
-    by_phrase = bound(f"lower({line})", "low", phrases)
-    return f"({bound(words_of(line), 'w', by_word)}) or {bound(f'''struct(array_join({words_of(line)}, '') as chars)''', 'x', by_char)} or {by_phrase}"
+    return f"({bound(words_of(line), 'w', f'{by_word} or {by_char}')}) or {bound(f'lower({line})', 'low', phrases)}"
 
 
 #: words inside 3-word windows that occur twice or more: windows sorted, equal neighbours found, their spans united
 _REPEATED = bound(
-    "sort_array(transform(sequence(0, size(words) - 3), i -> struct(concat_ws(' ', words[i], words[i + 1], words[i + 2]) as g, i as i)))",
+    "sort_array(transform(sequence(0, size(v) - 3), i -> struct(concat_ws(' ', v[i], v[i + 1], v[i + 2]) as g, i as i)))",
     "s",
     "aggregate(array_sort(transform(filter(s, (x, j) -> (j > 0 and x.g = s[greatest(j - 1, 0)].g) or (j < size(s) - 1 and x.g = s[least(j + 1, size(s) - 1)].g)), x -> x.i)), named_struct('last', -3, 'n', 0L), (a, i) -> named_struct('last', i, 'n', a.n + least(3, i - a.last)), a -> a.n)",
 )
@@ -75,30 +73,33 @@ _REPEATED = bound(
 
 def judge(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the cleaned text."""
-    own = ["_text", "words", "lines", "judged"]
-    out = documents.withColumn("_text", F.expr("coalesce(text, '')"))
-    out = out.withColumn("words", F.expr(words_of("_text"))).withColumn("lines", F.expr("filter(split(_text, '\\n'), l -> l rlike '[^ \\\\t-\\\\r]')"))
-    chars = f"length(translate({{}}, ' \\t\\n\\u000b\\u000c\\r', ''))"
-    out = out.withColumn("judged", F.expr(f"transform(split(_text, '\\n'), l -> if(l rlike '[^ \\\\t-\\\\r]', struct(l as line, {line_fails('l', rules)} as fails), struct(l as line, false as fails)))"))
+    blank = "rlike '[^ \\\\t-\\\\r]'"
+    chars = "length(translate(j.line, ' \\t\\n\\u000b\\u000c\\r', ''))"
+    # one value for the words and one for the lines; extracting their fields costs nothing
+    words = bound(words_of("_text"), "v", f"struct(cast(size(v) as long) as n, cast(length(array_join(v, '')) as long) as chars, if(size(v) < 3, 0L, {_REPEATED}) as again)")
+    judged = f"transform(split(_text, '\\n'), l -> named_struct('line', l, 'word', l {blank}, 'fails', l {blank} and ({line_fails('l', rules)})))"
+    lines = bound(judged, "a", f"struct({bound('transform(filter(a, j -> j.word), j -> j.line)', 'u', 'cast(size(u) - size(array_distinct(u)) as long)')} as dups, cast(aggregate(filter(a, j -> j.fails), 0, (n, j) -> n + {chars}) as long) as lost, array_join(transform(filter(a, j -> not j.fails), j -> j.line), '\\n') as text)")
+    out = documents.withColumn("_text", F.expr("coalesce(text, '')")).withColumns({"_words": F.expr(words), "_lines": F.expr(lines)})
     out = out.withColumns(
         {
-            "n_words": F.expr("cast(size(words) as long)"),
-            "word_chars": F.expr("cast(length(array_join(words, '')) as long)"),
+            "n_words": F.col("_words.n"),
+            "word_chars": F.col("_words.chars"),
             "n_symbols": F.expr(f"cast(length(_text) - length(translate(_text, {_sql(SYMBOLS)}, '')) as long)"),
-            "n_dup_lines": F.expr("cast(size(lines) - size(array_distinct(lines)) as long)"),
-            "n_repeat_words": F.expr(f"if(size(words) < 3, 0L, {_REPEATED})"),
-            "lost_chars": F.expr(f"cast(aggregate(filter(judged, j -> j.fails), 0, (n, j) -> n + {chars.format('j.line')}) as long)"),
-            "clean_text": F.expr("array_join(transform(filter(judged, j -> not j.fails), j -> j.line), '\\n')"),
+            "n_dup_lines": F.col("_lines.dups"),
+            "n_repeat_words": F.col("_words.again"),
+            "lost_chars": F.col("_lines.lost"),
+            "clean_text": F.col("_lines.text"),
         }
     )
     out = out.withColumn("base_failed", F.expr(f"n_words < {rules.least_words} or 100 * n_repeat_words > {rules.repeats} * n_words"))
-    return out.withColumn("kept", F.expr(f"not base_failed and 100 * lost_chars <= {rules.lost} * word_chars")).drop(*own)
+    return out.withColumn("kept", F.expr(f"not base_failed and 100 * lost_chars <= {rules.lost} * word_chars")).drop("_text", "_words", "_lines")
 
 
 def clean(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that stay, without their failing lines."""
     names = documents.columns
-    out = judge(documents, rules).where("kept").withColumn("text", F.col("clean_text"))
+    # a generator, for a filter would be pushed below and judge twice
+    out = judge(documents, rules).withColumn("text", F.explode(F.expr("if(kept, array(clean_text), array())")))
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out).select(*names)
 
 
