@@ -7,7 +7,7 @@ distance, keeps the best ``k``, and a query is done when its k-th distance is be
 ``segments * (r + 1)``: nothing nearer can be left.  Only queries not yet done go on.
 
 Rows with equal codes are one entry with its ``k`` least ids, so a hot code is one row; equal
-queries are one query.  Both sides of a lookup are shuffled on (segment, value); hot segment values
+queries are one query.  A lookup hands on only what beats the query's k-th best so far.  Both sides of a lookup are shuffled on (segment, value); hot segment values
 are split by adaptive execution.  Where a round's lookups would outnumber the codes, the queries
 left are held against all codes in blocks instead, which is exact as well.
 
@@ -73,23 +73,30 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, s
         return df.select("code", *more, seg).select("code", *more, "seg.s", "seg.value")
 
     table = scratch.table(parted(index, "ids"), "segments")
-    open_, best, done = asked, None, []
+    # what is known of a query's k-th best: its distance and id
+    none = {"bound": F.lit(bits + 1), "bound_id": F.lit(0).cast("long")}
+    open_, best, done = asked.withColumns(none), None, []
     r = 0
     while n_asked:
         probes = flips(width, r) if r <= width else []
         if r > width or (len(probes) * m > n_codes and r > 0):
-            done.append(scratch.table(scan(index, open_, k), "scanned"))
+            done.append(scratch.table(scan(index, open_.select("code"), k), "scanned"))
             break
         masks = F.array(*[F.lit(p).cast("long") for p in probes])
-        look = parted(open_).withColumnRenamed("code", "query").withColumn("value", F.explode(F.transform(masks, lambda x: F.col("value").bitwiseXOR(x))))
-        met = look.join(table, ["s", "value"]).select("query", "code", "ids").dropDuplicates(["query", "code"])
+        look = parted(open_, "bound", "bound_id").withColumnRenamed("code", "query").withColumn("value", F.explode(F.transform(masks, lambda x: F.col("value").bitwiseXOR(x))))
+        d = F.bit_count(look["query"].bitwiseXOR(table["code"]))
+        better = (d < look["bound"]) | ((d == look["bound"]) & (table["ids"][0] < look["bound_id"]))
+        met = look.join(table, (look["s"] == table["s"]) & (look["value"] == table["value"]) & better).select("query", "code", "ids").dropDuplicates(["query", "code"])
         found = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("d"), F.explode("ids").alias("id"))
         if best is not None:
             found = found.unionByName(best.select("query", F.explode("best").alias("b")).select("query", "b.d", "b.id"))
         best = scratch.table(_best(found, k), f"best{r}")
-        proved = (F.size("best") >= k) & (F.element_at("best", -1)["d"] < m * (r + 1))
+        full, last = F.size("best") >= k, F.element_at("best", -1)
+        proved = full & (last["d"] < m * (r + 1))
         done.append(scratch.table(best.where(proved), f"done{r}"))
-        open_ = scratch.table(open_.join(done[-1].select(F.col("query").alias("code")), "code", "left_anti"), f"open{r}")
+        known = best.select(F.col("query").alias("code"), F.when(full, last["d"]).otherwise(bits + 1).alias("bound"), F.when(full, last["id"]).otherwise(0).alias("bound_id"), proved.alias("proved"))
+        open_ = open_.select("code").join(known, "code", "left").where(~F.coalesce("proved", F.lit(False)))
+        open_ = scratch.table(open_.select("code", F.coalesce("bound", none["bound"]).alias("bound"), F.coalesce("bound_id", none["bound_id"]).alias("bound_id")), f"open{r}")
         best = best.where(~proved)
         n_asked, r = open_.count(), r + 1
     if not done:
