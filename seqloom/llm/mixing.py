@@ -22,13 +22,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import BLANKS, Scratch, keep_small
 
-SIZE = F.size(F.filter(F.split(F.translate("text", BLANKS, " " * len(BLANKS)), " +"), lambda w: w != "")).cast("long")
+
+def n_words(text: str = "text") -> Column:
+    """Number of words; null texts have none."""
+    parted = F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " +")
+    return F.coalesce(F.size(F.filter(parted, lambda w: w != "")).cast("long"), F.lit(0))
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, most: float) -> np.ndarray:
@@ -85,7 +89,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     """``documents`` without text, with size, source_size, target and taken."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "mix")
     rest = [c for c in documents.columns if c not in ("text", "size", "source_size", "target", "taken")]
-    sized = scratch.table(documents.select(*rest, SIZE.alias("size")).withColumn("size", F.greatest("size", F.lit(0))), "sizes")
+    sized = scratch.table(documents.select(*rest, n_words().alias("size")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     totals.sort(key=lambda r: _source_order(r["source"]))
     sizes = np.array([r["n"] for r in totals], np.int64)
