@@ -62,6 +62,13 @@ class Network:
             out += table.take(x[t : t + n], 0)
         return out
 
+    def halves(self, x: np.ndarray, at: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Responses of half chunks lo to hi; in a text's padding, where taps would reach the next text, there is none."""
+        r = self.responses(x[lo * HALF : hi * HALF + TAPS[-1]])
+        last = at[1:][(at[1:] > lo) & (at[1:] <= hi)] - lo
+        r[(last[:, None] * HALF - np.arange(1, TAPS[-1] + 1)).ravel()] = -1e9
+        return r.reshape(hi - lo, HALF, -1)
+
     def _chunks(self, pooled: np.ndarray, at: np.ndarray):
         """Per chunk: the first half's row; a text of one half is one chunk."""
         n = np.maximum(np.diff(at) - 1, 1)
@@ -88,7 +95,7 @@ class Network:
         pooled = []
         for lo in range(0, int(at[-1]), PART // HALF):
             hi = min(int(at[-1]), lo + PART // HALF)
-            r = self.responses(x[lo * HALF : hi * HALF + TAPS[-1]]).reshape(hi - lo, HALF, -1)
+            r = self.halves(x, at, lo, hi)
             while r.shape[1] > 1:
                 half = r.shape[1] // 2
                 r = np.maximum(r[:, :half], r[:, half:])
@@ -97,7 +104,7 @@ class Network:
 
     def gradients(self, x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         p = self.p
-        r = self.responses(x).reshape(int(at[-1]), HALF, -1)
+        r = self.halves(x, at, 0, int(at[-1]))
         where = r.argmax(1)
         pooled = np.take_along_axis(r, where[:, None], 1)[:, 0]
         h = self.head(pooled, at)
