@@ -89,7 +89,9 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     """``documents`` without text, with size, source_size, target and taken."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "mix")
     rest = [c for c in documents.columns if c not in ("text", "size", "source_size", "target", "taken")]
-    sized = scratch.table(documents.select(*rest, n_words().alias("size")), "sizes")
+    # the row's own columns travel in one, so that no name meets another
+    sized = scratch.table(documents.select(F.struct(*rest).alias("row"), n_words().alias("size")), "sizes")
+    sized = sized.withColumns({"source": F.col("row.source"), "doc_id": F.col("row.doc_id")})
     totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     totals.sort(key=lambda r: _source_order(r["source"]))
     sizes = np.array([r["n"] for r in totals], np.int64)
@@ -117,7 +119,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
         mine = order[whose[order] == i]
         quota[mine] = sainte_lague(words[mine], most * blocks[mine], seats[i])
 
-    rows = [(r["source"], r["shard"], int(w), int(n), int(q), _stride(int(n), seed + k), (seed * 7919 + 31 * r["shard"]) % int(n)) for k, (r, w, n, q) in enumerate(zip(found, words, blocks, quota))]
+    rows = [(r["source"], r["shard"], int(w), int(n), int(q), _stride(int(n), seed + r["shard"]), (seed * 7919 + 31 * r["shard"]) % int(n)) for r, w, n, q in zip(found, words, blocks, quota)]
     plan = spark.createDataFrame(rows, "p_source string, p_shard int, words long, n long, quota long, a long, c long")
     stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
@@ -125,15 +127,15 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     part = """aggregate(sequence(((start + 1) * n - 1) div words, ((start + size) * n - 1) div words), 0L, (t, j) ->
       if(pmod(j * a + c, n) < quota % n, t + least(start + size, ((j + 1) * words) div n) - greatest(start, (j * words) div n), t))"""
     taken = F.expr(f"case when size = 0 or words is null then 0L when quota % n = 0 then size * (quota div n) else size * (quota div n) + {part} end")
-    return placed.select(*rest, "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("row.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 def remix(documents: DataFrame, **parameters) -> DataFrame:
     """Whole documents by what the mix takes of them: the nearest number of copies, none included."""
     names = documents.columns
     scratch = Scratch(documents.sparkSession, "remix")
-    copies = mix(documents.select("doc_id", "source", "text"), **parameters).select("doc_id", F.expr("if(size = 0, 0, cast(floor((2 * taken + size) / (2 * size)) as int))").alias("copies"))
+    copies = mix(documents.select("doc_id", "source", "text"), **parameters).select("doc_id", F.expr("if(size = 0, 0, cast(floor((2 * taken + size) / (2 * size)) as int))").alias("_copies"))
     # rows that repeat a doc_id are drawn alike
-    copies = scratch.table(copies.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "copies")
+    copies = scratch.table(copies.groupBy("doc_id").agg(F.max("_copies").alias("_copies")).where("_copies > 0"), "copies")
     out = documents.join(keep_small(copies, copies.count()), documents["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return out.withColumn("copies", F.explode(F.expr("sequence(1, copies)"))).select(*names)
+    return out.withColumn("_copies", F.explode(F.expr("sequence(1, _copies)"))).select(*names)
