@@ -272,7 +272,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85, ban
     found = components(links, scratch, "linked")
     found = scratch.table(found, "found")
     out = prints.join(sets, ["h1", "h2"], "left").join(keep_small(found, found.count()), F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
