@@ -2,7 +2,8 @@
 
 Sequence rows: ``seq_id, tags array<int>, obs array<array<int>>, nodes array<long>, is_labeled boolean``.
 ``obs`` lists each token's observation features (words, affixes, lit pixels); a tag's score at a position
-sums the weights of the previous, the current and the next token's observations.
+sums the weights of the previous, the current and the next token's observations.  An optional column
+``allowed array<array<int>>`` prunes the states of each token (null or empty: all are allowed).
 
 One evaluation is one job: parameters are broadcast, every partition adds up its sequences and hands
 on one row; rows are added in a tree, in a fixed order.
@@ -71,8 +72,8 @@ class Design:
             out.append(np.transpose(kept, np.argsort(np.argsort(axes))) if len(axes) > 1 else kept)
         return out
 
-    def nodes(self, emission: np.ndarray, obs: list) -> tuple[np.ndarray, float]:
-        """Scores (L, K), and that of the end state, which sees the last token as its previous one."""
+    def nodes(self, emission: np.ndarray, obs: list, allowed: list | None = None) -> tuple[np.ndarray, float]:
+        """Scores (L, K), -inf where not allowed, and that of the end state, which sees the last token as its previous one."""
         k, n = self.states, len(obs)
         per = np.zeros((3, n, k + 1))
         for i, features in enumerate(obs):
@@ -82,6 +83,9 @@ class Design:
         node = per[1, :, :k].copy()
         node[1:] += per[0, :-1, :k]
         node[:-1] += per[2, 1:, :k]
+        for i, states in enumerate(allowed if allowed is not None else []):
+            if states is not None and len(states):
+                node[i, np.setdiff1d(np.arange(k), np.asarray(states, np.int64))] = -np.inf
         return node, float(per[0, -1, k])
 
     def add_emissions(self, into: np.ndarray, obs: list, p: np.ndarray, weight: float = 1.0) -> None:
@@ -158,7 +162,7 @@ def log_partition(sequences: DataFrame, design: Design, theta: np.ndarray) -> tu
     def body(row, into, cache={}):  # noqa: B006
         if not cache:
             cache["edge"], cache["emission"] = design.edges(sent.value), design.split(sent.value)[-1]
-        node, end = design.nodes(cache["emission"], row.obs)
+        node, end = design.nodes(cache["emission"], row.obs, getattr(row, "allowed", None))
         log_z, p, transitions = lattice.marginals(node, end, cache["edge"])
         into += design.counts(row.obs, p, transitions)
         return log_z
@@ -244,7 +248,7 @@ def infer(sequences: DataFrame, design: Design, theta: np.ndarray) -> DataFrame:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                node, end = design.nodes(emission, row.obs)
+                node, end = design.nodes(emission, row.obs, getattr(row, "allowed", None))
                 log_z, p, c = lattice.marginals(node, end, edge)
                 out.append((row.seq_id, float(log_z), lattice.entropy(log_z, p, c, node, end, edge), p.ravel(), p.argmax(1).astype(np.int32)))
             yield pd.DataFrame(out, columns=["seq_id", "logz", "entropy", "p", "pred"])

@@ -74,7 +74,7 @@ class Projection:
                 out = []
                 for row in frame.itertuples(index=False):
                     k, n = design.states, len(row.obs)
-                    node_m, end_m = design.nodes(emission, row.obs)
+                    node_m, end_m = design.nodes(emission, row.obs, getattr(row, "allowed", None))
                     if row.nu is None:
                         node, end = node_m, end_m
                     else:
@@ -84,7 +84,9 @@ class Projection:
                         for i, g in enumerate(row.pull if row.pull is not None else []):
                             if g is not None:
                                 pull[i] = g
-                        node = node - eta * ((node - node_m) + 2 * strength * pull)
+                        with np.errstate(invalid="ignore"):
+                            node = node - eta * ((node - node_m) + 2 * strength * pull)
+                        node[~np.isfinite(node_m)] = -np.inf  # pruned states stay out
                         end -= eta * (end - end_m)
                     log_z, q, c = lattice.marginals(node, end, edge_q)
                     finite = lambda x: np.where(np.isfinite(x), x, 0.0)
@@ -93,7 +95,8 @@ class Projection:
                     out.append((row.seq_id, np.append(node.ravel(), end), q.ravel(), c.ravel(), float(cross), lattice.entropy(log_z, q, c, node, end, edge_q)))
                 yield pd.DataFrame(out, columns=["seq_id", "nu", "q", "c", "cross", "entropy"])
 
-        return rows.select("seq_id", "obs", "nu", "pull").mapInPandas(run, "seq_id long, nu array<double>, q array<double>, c array<double>, cross double, entropy double")
+        kept = [x for x in ("allowed",) if x in rows.columns]
+        return rows.select("seq_id", "obs", "nu", "pull", *kept).mapInPandas(run, "seq_id long, nu array<double>, q array<double>, c array<double>, cross double, entropy double")
 
     def violation(self) -> float:
         return float(graph.violation(self.edges, self.q, self.frequency).first()[0] or 0.0)

@@ -96,6 +96,15 @@ def test_training_learns_the_tags(rows):
     assert acc["token_acc"] > 0.85
 
 
+def test_pruning_of_sequences(rows):
+    from pyspark.sql import functions as F
+
+    design = crf.Design(3, 4, 2)
+    pruned = rows.withColumn("allowed", F.transform("tags", lambda t: F.array(t)))
+    got = crf.infer(pruned, design, np.zeros(design.size)).join(rows.select("seq_id", "tags"), "seq_id").collect()
+    assert all(list(r["pred"]) == list(r["tags"]) and abs(r["logz"]) < 1e-9 for r in got)
+
+
 def test_em_and_projection(spark, rows):
     edges = spark.createDataFrame([(0, 1, 0.2), (1, 0, 0.2), (1, 2, 0.1), (2, 1, 0.1)], "src long, dst long, weight double")
     design = crf.Design(3, 4, 1)
