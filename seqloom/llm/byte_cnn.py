@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import CODE, NOT_BLANK, flat, labelled_sample, running, share, slices, span_hash, spans
+from .common import CODE, NOT_BLANK, flat, in_small_batches, labelled_sample, running, share, slices, span_hash, spans
 
 HALF = 256
 TAPS = (0, 1, 2, 3, 4, 12, 20, 28)
@@ -191,4 +191,4 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(model_.score(part.column("text")))], names=[*names, "quality_score"])
 
-    return kept.mapInArrow(run, T.StructType([*rest, T.StructField("quality_score", T.DoubleType())]))
+    return in_small_batches(kept).mapInArrow(run, T.StructType([*rest, T.StructField("quality_score", T.DoubleType())]))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -26,8 +28,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: rows up to which a list of ids is broadcast; beyond, the join shuffles
 BROADCAST_ROWS = 1_000_000
+#: bytes of a batch of rows on its way to a Python worker, unless the session says otherwise
+BATCH_BYTES = 2 << 20
 #: bytes of text that the array kernels take at a time (one longer text is taken whole)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,12 +74,28 @@ def keep_small(ids: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows will reach Python in batches bounded by bytes: long texts do not fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def share(spark: SparkSession, value):
     """A function that gives workers the value, classes of this package included; sent to each executor once."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(sent.value)
 
 
+def once_a_worker(key: str, make):
+    """What ``make`` returns, made once in a Python worker's life, whatever tasks it runs."""
+    kept = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 # ---------------------------------------------------------------- folds and samples
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, flat, share, slices
+from .common import fold, flat, in_small_batches, share, slices
 from .word_crf import Model, fit, words_of
 
 UNKNOWN = "und"
@@ -86,7 +86,7 @@ def identify(documents: DataFrame, model: LanguageModel | None = None, **paramet
                 best, score = m.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs[best], pa.string()), pa.array(score)], names=[*names, "lang_pred", "lang_score"])
 
-    out = kept.mapInArrow(run, schema)
+    out = in_small_batches(kept).mapInArrow(run, schema)
     # bytes of other characters are not all letters
     letters = F.col("text").rlike(r"\p{L}")
     return out.withColumns({"lang_pred": F.when(letters, F.col("lang_pred")).otherwise(UNKNOWN), "lang_score": F.when(letters, F.col("lang_score")).otherwise(0.0)})

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CODE_LOWER, NOT_BLANK, Scratch, flat, keep_small, mix, running, slices, span_hash, spans
+from .common import CODE_LOWER, NOT_BLANK, Scratch, flat, in_small_batches, keep_small, mix, running, slices, span_hash, spans
 from .components import components
 
 SEED = 61
@@ -112,7 +112,7 @@ def fingerprints(documents: DataFrame, width: int, bands: int, rows: int) -> Dat
                     names=FINGERPRINT.names,
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINGERPRINT)
+    return in_small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINGERPRINT)
 
 
 def shingle_sets(documents: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -128,7 +128,7 @@ def shingle_sets(documents: DataFrame, width: int, bands: int, rows: int) -> Dat
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "cluster", "size")), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "cluster", "size", "signature", "shingles"])
 
-    return documents.select("rep", "cluster", "size", "text").mapInArrow(run, "rep long, cluster long, size long, signature binary, shingles binary")
+    return in_small_batches(documents).select("rep", "cluster", "size", "text").mapInArrow(run, "rep long, cluster long, size long, signature binary, shingles binary")
 
 
 def star_links(pairs: DataFrame, percent: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import flat, labelled_sample, share, slices
+from .common import flat, in_small_batches, labelled_sample, share, slices
 from .word_crf import Model, Words, fit, words_of
 
 CLEAN, TOXIC = 0, 1
@@ -166,4 +166,4 @@ def score(documents: DataFrame, model: ToxicModel) -> DataFrame:
                 scores, found = model_.spans(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores), pa.array([[{"start": a, "end": b} for a, b in f] for f in found], kind)], names=[*names, "toxic_score", "toxic_spans"])
 
-    return kept.mapInArrow(run, schema)
+    return in_small_batches(kept).mapInArrow(run, schema)
