@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_small_batches, once_a_worker, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -72,6 +72,18 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
+class Fragments(dict):
+    """Ids of fragments, with a blank before each; what is not known yet is encoded when it is asked for."""
+
+    def __init__(self, encode, blank: str):
+        super().__init__()
+        self.encode, self.blank = encode, blank
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = array("I", self.encode(self.blank + word)).tobytes()
+        return ids
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -79,15 +91,15 @@ class Encoder:
     a text is the concatenation of its fragments, and a fragment met before costs one lookup.
     Other texts (runs of blanks, blanks at an end, special tokens) go to the tokenizer whole.
     With ``ranks``, new fragments are encoded from the same vocabulary's byte ranks, which gives
-    the same ids several times faster.
+    the same ids several times faster.  At most ``most`` fragments are remembered.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, most: int = 400_000):
+    def __init__(self, path: str, ranks: str | None = None, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.most = Tokenizer.from_file(path), {}, most
-        self.fast = None
+        self.tok, self.most = Tokenizer.from_file(path), most
+        encode = lambda w: self.tok.encode(w, add_special_tokens=False).ids
         if ranks:
             import base64
 
@@ -96,30 +108,22 @@ class Encoder:
 
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+            encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        self.first, self.rest = Fragments(encode, ""), Fragments(encode, " ")
         special = "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())
         self.odd = re.compile(r"^\s| \s|\s |\s$" + f"|{special}" * bool(special)).search
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut, whole = {}, []
-        for i, text in enumerate(texts):
+        for known in (self.first, self.rest):
+            if len(known) > self.most:
+                known.clear()
+        out: list = []
+        for text in texts:
             if self.odd(text):
-                whole.append(i)
+                out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 head, *rest = text.split(" ")
-                cut[i] = [head, *[" " + w for w in rest]]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*cut.values()).difference(self.known))
-        self.known.update(zip(new, [array("I", self.fast(w)).tobytes() for w in new] if self.fast else self._encode(new)))
-        for i, fragments in cut.items():
-            out[i] = b"".join(map(self.known.__getitem__, fragments))
+                out.append(self.first[head] + b"".join(map(self.rest.__getitem__, rest)))
         return out
 
 
@@ -128,7 +132,7 @@ def pieces(documents: DataFrame, length: int = 1024, tokenizer: tuple[str, str |
     path, end, step = tokenizer or default_tokenizer(), end_id.to_bytes(4, "little"), 4 * length
 
     def run(batches):
-        encode = Encoder(*path)
+        encode = once_a_worker(f"encoder {path}", lambda: Encoder(*path))
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo, hi in slices(texts):
@@ -142,7 +146,7 @@ def pieces(documents: DataFrame, length: int = 1024, tokenizer: tuple[str, str |
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return in_small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def pack(documents: DataFrame, length: int = 1024, tokenizer: tuple[str, str | None] | None = None, end_id: int = 0, group_docs: int = 2048, seed: int = 17) -> DataFrame:
