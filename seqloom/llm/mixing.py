@@ -6,9 +6,11 @@
    stream of words, cut into blocks of nearly ``block_words``.
 3. Blocks go to sources by highest quotients ``target / (2 k + 1)``, then from a source to its
    shards by the shards' words: integer quotas per shard, at most ``most`` times its blocks.
-4. A quota of ``q`` of ``n`` blocks takes the whole stream ``q div n`` times and ``q mod n`` blocks
-   of one seeded permutation ``(a j + c) mod n``, so no rank over blocks is needed.  A document
-   takes the words that its span shares with the blocks chosen.
+4. A quota of ``q`` of ``n`` blocks takes the whole stream ``q div n`` times and a seeded run of
+   ``q mod n`` blocks, ``(j + c) mod n``, so no rank over blocks is needed.  A document takes the
+   words that its span shares with the blocks chosen.  The stream's order is random, so a run is a
+   random sample of documents; all but those at its two ends are whole in it or out of it, and
+   rounding them to whole copies does not hang on their length or their source's share.
 
 The driver sees totals of sources and shards only: a shard for every ``shard_docs`` documents of a
 source, at most ``shards`` a source.  Shards are small, so a hot source is many groups.
@@ -73,14 +75,6 @@ def sainte_lague(votes: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarray:
     return won
 
 
-def _stride(n: int, seed: int) -> int:
-    """A multiplier prime to ``n``, near the golden section of it."""
-    a = max(1, int(n * 0.6180339887) + seed % 7)
-    while math.gcd(a, n) > 1:
-        a += 1
-    return a
-
-
 def _source_order(source):
     return (source is None, source.encode("utf-8") if source is not None else b"")
 
@@ -119,13 +113,13 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
         mine = order[whose[order] == i]
         quota[mine] = sainte_lague(words[mine], most * blocks[mine], seats[i])
 
-    rows = [(r["source"], r["shard"], int(w), int(n), int(q), _stride(int(n), seed + r["shard"]), (seed * 7919 + 31 * r["shard"]) % int(n)) for r, w, n, q in zip(found, words, blocks, quota)]
-    plan = spark.createDataFrame(rows, "p_source string, p_shard int, words long, n long, quota long, a long, c long")
+    rows = [(r["source"], r["shard"], int(w), int(n), int(q), (seed * 7919 + 31 * r["shard"]) % int(n)) for r, w, n, q in zip(found, words, blocks, quota)]
+    plan = spark.createDataFrame(rows, "p_source string, p_shard int, words long, n long, quota long, c long")
     stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     placed = placed.join(keep_small(plan, len(rows)), placed["source"].eqNullSafe(plan["p_source"]) & (placed["shard"] == plan["p_shard"]), "left")
     part = """aggregate(sequence(((start + 1) * n - 1) div words, ((start + size) * n - 1) div words), 0L, (t, j) ->
-      if(pmod(j * a + c, n) < quota % n, t + least(start + size, ((j + 1) * words) div n) - greatest(start, (j * words) div n), t))"""
+      if(pmod(j + c, n) < quota % n, t + least(start + size, ((j + 1) * words) div n) - greatest(start, (j * words) div n), t))"""
     taken = F.expr(f"case when size = 0 or words is null then 0L when quota % n = 0 then size * (quota div n) else size * (quota div n) + {part} end")
     return placed.select("row.*", "size", "source_size", "target", taken.alias("taken"))
 

@@ -223,6 +223,28 @@ def test_mix_odd_rows(spark):
     assert out.columns == docs(spark, rows).columns
 
 
+def test_whole_copies_meet_the_targets_at_every_length(spark):
+    rng, texts, at = random.Random(8), [], 0
+    for source in ("a", "b", "c"):
+        for i in range(600):
+            texts.append((at, "w " * (rng.randint(1000, 3000) if i % 5 == 0 else rng.randint(20, 400)), source))
+            at += 1
+    table = docs(spark, texts)
+    target = {r["source"]: r["target"] for r in mixing.mix(table).join(table.select("doc_id", "source").withColumnRenamed("source", "s"), "doc_id").select(F.col("s").alias("source"), "target").distinct().collect()}
+    size, long_, got, got_long = Counter(), Counter(), Counter(), Counter()
+    for _, t, s in texts:
+        n = len(t) // 2
+        size[s] += n
+        long_[s] += n if n >= 1000 else 0
+    for r in mixing.remix(table).collect():
+        n = len(r["text"]) // 2
+        got[r["source"]] += n
+        got_long[r["source"]] += n if n >= 1000 else 0
+    for s in size:
+        assert abs(got[s] - target[s]) <= 0.02 * size[s]
+        assert abs(got_long[s] / long_[s] - target[s] / size[s]) <= 0.15
+
+
 # ---------------------------------------------------------------- top-k
 
 
