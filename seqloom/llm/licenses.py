@@ -1,7 +1,9 @@
 """Licence scans by sentence rules, in SQL functions only: no Python, no shuffle, one pass over the text.
 
-A text is cut into sentences; each is normalised (lower case, letters and digits, years and names
-of holders dropped) and looked up in a fixed table of known licence sentences.  The identifiers
+A text is cut at line ends, URLs and sentence marks into pieces, which are normalised (lower case,
+letters and digits, years and names of holders dropped).  A run of whole pieces that together are a
+known licence sentence of a fixed table is that sentence, the longest first: so lines may be wrapped
+and commented, and marks inside a sentence ("free software: you can", "v. 2.0") do not hide it.  The identifiers
 found, in text order, are matched against ordered rules: a rule is a run of identifiers and names
 a licence; what a rule has matched is taken out before the next rule is tried.  Sentences that no
 rule used are reported as such.
@@ -117,10 +119,11 @@ RULES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "Proprietary"),
 )
 
-#: what every known sentence has one of: texts and sentences without them are not normalised
-ANCHORS = ("licen", "permi", "copyright", "warrant", "redistribut", "rights", "public domain", "mozilla", "mpl", "neither the name", "in no event", "proprietary", "cc by", "cc-by")
-#: a sentence ends at a line's end, or after one of these before a blank
-_ENDS = r"[\r\n]+|[.;:!?](?=[ \t]|$)"
+#: of every known sentence, the words of one of these; texts without them are not normalised
+ANCHORS = (("licen",), ("permi",), ("copyright",), ("warrant",), ("redistribut",), ("rights",), ("public", "domain"), ("mpl", "obtain", "distributed"), ("proprietary",))
+#: a piece ends at a line's end, at a URL, or after one of these before a blank
+_ENDS = r"https?://[^ \t\r\n]*|[\r\n]+|[.;:!?](?=[ \t]|$)"
+#: the SQL looks up single sentences, one line each
 _ENDS_DUCK = r"[\r\n]+|[.;:!?](?:[ \t]|$)"
 
 
@@ -129,24 +132,28 @@ def _q(text: str) -> str:
 
 
 def _anchored(low: str) -> str:
-    return "(" + " or ".join(f"contains({low}, '{a}')" for a in ANCHORS) + ")"
+    return "(" + " or ".join("(" + " and ".join(f"contains({low}, '{w}')" for w in a) + ")" for a in ANCHORS) + ")"
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """``documents`` with sentence_ids, licenses and unused, all arrays in text or rule order, and n_known."""
     if missing := {i for _, run in RULES for i in run.split()} - set(SENTENCES):
         raise ValueError(f"rules name unknown sentences: {missing}")
-    if odd := [s for s in SENTENCES.values() if not any(a.replace("-", " ") in s for a in ANCHORS)]:
+    if odd := [s for s in SENTENCES.values() if not any(all(w in s for w in a) for a in ANCHORS)]:
         raise ValueError(f"sentences without an anchor: {odd}")
     known = "map(" + ", ".join(f"{_q(s)}, '{i}'" for i, s in SENTENCES.items()) + ")"
+    # pieces stand between bars; a sentence's blanks may be bars
+    ends = f"regexp_replace(translate(_low, '|', ' '), {_q(_ENDS)}, '|')"
+    pieces = f"regexp_replace(concat('|', regexp_replace({ends}, '[^a-z0-9|]+', ' '), '|'), '(?: *\\\\|)+ *', ' | ')"
     # "copyright (c) 2020 a holder" is the sentence "copyright"
-    norm = "regexp_replace(trim(regexp_replace(s, '[^a-z0-9]+', ' ')), '^copyright (c )?[0-9]{4}.*$', 'copyright')"
-    cut = f"filter(split(low, {_q(_ENDS)}), s -> {_anchored('s')})"
+    pieces = f"regexp_replace({pieces}, '(?<=\\\\| )copyright (c )?[0-9]{{4}}[^|]*(?= \\\\|)', 'copyright')"
+    runs = "|".join(s.replace(" ", "(?: \\\\|)? ") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    cut = f"regexp_extract_all({pieces}, '(?<=\\\\| )(?:{runs})(?= \\\\|)', 0)"
     rules = "array(" + ", ".join(f"struct('{name}' as name, ' {' | '.join(run.split())} ' as run)" for name, run in RULES) + ")"
     # identifiers stand between bars, each with both of its own blanks, so that a run matches whole identifiers
     step = "if(contains(a.rest, r.run), named_struct('rest', replace(a.rest, r.run, ' # '), 'found', concat(a.found, array_repeat(r.name, cast((length(a.rest) - length(replace(a.rest, r.run, ''))) / length(r.run) as int)))), a)"
     out = documents.withColumn("_low", F.expr("lower(coalesce(text, ''))"))
-    ids = f"element_at(transform(array({known}), k -> filter(transform(transform(array(_low), low -> {cut})[0], s -> try_element_at(k, {norm})), i -> i is not null)), 1)"
+    ids = f"transform({cut}, s -> element_at({known}, replace(s, ' |', '')))"
     out = out.withColumn("sentence_ids", F.expr(f"if({_anchored('_low')}, {ids}, cast(array() as array<string>))"))
     match = f"aggregate({rules}, named_struct('rest', concat(' ', array_join(sentence_ids, ' | '), ' '), 'found', cast(array() as array<string>)), (a, r) -> {step})"
     out = out.withColumn("_match", F.expr(f"if(size(sentence_ids) > 0, {match}, named_struct('rest', '', 'found', cast(array() as array<string>)))"))
