@@ -121,8 +121,9 @@ RULES: tuple[tuple[str, str], ...] = (
 
 #: of every known sentence, the words of one of these; texts without them are not normalised
 ANCHORS = (("licen",), ("permi",), ("copyright",), ("warrant",), ("redistribut",), ("rights",), ("public", "domain"), ("mpl", "obtain", "distributed"), ("proprietary",))
-#: a piece ends at a line's end, at a URL, or after one of these before a blank
-_ENDS = r"https?://[^ \t\r\n]*|[\r\n]+|[.;:!?](?=[ \t]|$)"
+#: a piece ends at a line's end, at a URL, or after one of these before a blank; what marks a line as a comment or an
+#: item of a list is none of its words
+_ENDS = r"https?://[^ \t\r\n]*|(?:^|[\r\n]+)(?:[ \t]*(?:rem|dnl)[ \t])?(?:[^a-z0-9\r\n]*[0-9a-z]\)[ \t])?|[.;:!?](?=[ \t]|$)"
 #: the SQL looks up single sentences, one line each
 _ENDS_DUCK = r"[\r\n]+|[.;:!?](?:[ \t]|$)"
 

@@ -80,6 +80,16 @@ def test_license_notices_with_marks_inside(spark):
     check_licenses(spark, FULL | SHORT | first)
 
 
+@pytest.mark.parametrize("marker", ["", "# ", " * ", "// ", "REM ", "dnl "])
+def test_license_files_with_wrapped_lines(spark, marker):
+    import textwrap
+
+    wrap = lambda text, width, end: end.join(marker + line for line in textwrap.wrap(text, width, break_on_hyphens=False))
+    items = {BSD3.replace(": 1. ", ": 1) ").replace(" 2. ", " 2) ").replace(" 3. ", " 3) "): "BSD-3-Clause"}
+    lines = {"\n".join(wrap(part, 72, "\n") for part in t.replace(" 1) ", "\n1) ").replace(" 2) ", "\n2) ").replace(" 3) ", "\n3) ").split("\n")): n for t, n in items.items()}
+    check_licenses(spark, lines | {wrap(t, 76, "\r\n"): n for t, n in FULL.items()} | {"prose without an end\n" + wrap(t, 70, "\n") + "\nprose": n for t, n in (FULL | SHORT).items()})
+
+
 def test_license_odd_rows(spark, odd):
     assert licenses.digest(odd).count() == odd.count()
     assert licenses.digest(odd.limit(0)).count() == 0
