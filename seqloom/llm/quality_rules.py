@@ -1,7 +1,8 @@
 """Line-first cleaning in SQL functions only: no Python, no shuffle, one pass over the text.
 
 Every line is judged by itself: shouting punctuation, symbols, navigation bars, boilerplate phrases,
-lines that say the same word over and over.  Failing lines are removed, and a document is rejected
+lines that say the same word over and over.  A boilerplate phrase fails a short line, or one that
+phrases make up half of; a long line that mentions one is text.  Failing lines are removed, and a document is rejected
 when it loses too much of its text, or fails the base rules on words and repeated windows.
 
 Null texts are empty: they have no words and fail.  Repeated rows and ties are judged row by row.
@@ -30,6 +31,8 @@ class Rules:
     symbols: int = 10  # characters of SYMBOLS
     bars: int = 20  # words of BARS
     again: int = 40  # words equal to the one before
+    phrase_words: int = 20  # a longer line fails only if phrases are phrase_share of its characters
+    phrase_share: int = 50
     lost: int = 50  # of a document's characters in words, in removed lines
     least_words: int = 50
     repeats: int = 50
@@ -60,7 +63,10 @@ def line_fails(line: str, rules: Rules) -> str:
     again = "size(filter(w, (x, i) -> i > 0 and x = w[i - 1]))"
     by_char = bound("array_join(w, '')", "c", f"100 * (length(c) - length(translate(c, {_sql(SYMBOLS)}, ''))) > {rules.symbols} * length(c)")
     by_word = f"100 * {marks} > {rules.marks} * size(w) or 100 * size(filter(w, x -> x in ({bars}))) > {rules.bars} * size(w) or (size(w) >= 4 and 100 * {again} > {rules.again} * size(w))"
-    return f"({bound(words_of(line), 'w', f'{by_word} or {by_char}')}) or {bound(f'lower({line})', 'low', phrases)}"
+    # a long line is rare among those with a phrase, so its share is only then computed
+    mostly = f"size(w) <= {rules.phrase_words} or 100 * (length(low) - length(regexp_replace(low, {_sql('|'.join(PHRASES))}, ''))) >= {rules.phrase_share} * length(low)"
+    by_phrase = bound(f"lower({line})", "low", f"({phrases}) and ({mostly})")
+    return f"({bound(words_of(line), 'w', f'{by_word} or {by_char} or {by_phrase}')})"
 
 
 #: words inside 3-word windows that occur twice or more: windows sorted, equal neighbours found, their spans united

@@ -124,6 +124,13 @@ def test_quality_lines_go_and_documents_that_lose_too_much(spark):
     assert got == {0: GOOD}
 
 
+def test_quality_long_lines_may_mention_a_phrase(spark):
+    one = GOOD.replace("\n", " ") + " You may read more of this in the privacy policy. " + " ".join(f"more{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(12))
+    footer = " ".join(quality_rules.PHRASES)
+    got = {r["doc_id"]: r["text"] for r in quality_rules.clean(docs(spark, [one, GOOD + "\n" + footer, GOOD + "\nClick here to read more."])).collect()}
+    assert got == {0: one, 1: GOOD, 2: GOOD}
+
+
 def test_quality_odd_rows(spark, odd):
     got = quality_rules.judge(odd)
     assert got.count() == odd.count() and got.where("kept").select("doc_id").distinct().count() == 2
