@@ -179,6 +179,16 @@ def test_url_probabilities_sum_to_one():
     assert np.exp(m.log_p(data, position))[2::3].sum() == pytest.approx(1)
 
 
+def test_url_models_judge_the_whole_url(spark):
+    good, bad = ["garden", "history", "science", "letters"], ["casino", "pills", "bets", "winner"]
+    rows = [f"http://a{i}.com/p?q={good[i % 4]}-{good[i % 3]}" for i in range(120)] + [f"http://b{i}.net/es/p?q={bad[i % 4]}-{bad[i % 3]}" for i in range(120)]
+    asked = {"http://site.org/?q=history-garden": "allow", "http://site.org/?q=casino-pills": "block", "site.org/?q=history-garden": "allow", "site.org/?q=casino-pills": "block"}
+    got = urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate([*rows, *asked, None])], "page_id long, url string"))
+    by_url = {r["url"]: r for r in got.where("rule is null").collect()}
+    assert {u: by_url[u]["verdict"] for u in asked} == asked
+    assert by_url[None]["score"] is not None and by_url[None]["host"] == ""
+
+
 def test_url_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, host int, score string")).count() == 0
 
