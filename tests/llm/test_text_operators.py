@@ -90,6 +90,11 @@ def test_license_files_with_wrapped_lines(spark, marker):
     check_licenses(spark, lines | {wrap(t, 76, "\r\n"): n for t, n in FULL.items()} | {"prose without an end\n" + wrap(t, 70, "\n") + "\nprose": n for t, n in (FULL | SHORT).items()})
 
 
+def test_license_words_parted_by_other_blanks(spark):
+    texts = ["This work is in the public  domain.", "This work is in the public\tdomain.", "this work is in the public-domain", "This work is in the public\u00a0domain."]
+    check_licenses(spark, {t: "Public-Domain" for t in texts} | {"Licensed under CC_BY 4.0": "CC-BY-4.0"})
+
+
 def test_license_odd_rows(spark, odd):
     assert licenses.digest(odd).count() == odd.count()
     assert licenses.digest(odd.limit(0)).count() == 0
