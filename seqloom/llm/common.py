@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import sys
 import tempfile
 import types
@@ -30,8 +31,10 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_ROWS = 1_000_000
 #: bytes of a batch of rows on its way to a Python worker, unless the session says otherwise
 BATCH_BYTES = 2 << 20
-#: bytes of text that the array kernels take at a time (one longer text is taken whole)
+#: bytes of text that the array kernels take at a time; one longer text is cut at blanks, or within a longer word
 SLICE_BYTES = 1 << 19
+#: bytes of the longest text that a classifier learns from
+LONGEST_SAMPLE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +53,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:  # a local session, as in tests
-            base = tempfile.mkdtemp(prefix="seqloom-")
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="seqloom-")  # a local session, as in tests
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
@@ -83,14 +88,25 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 
 def share(spark: SparkSession, value):
-    """A function that gives workers the value, classes of this package included; sent to each executor once."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)
+    """A function that gives workers the value, classes of this package included; sent to each executor once, made once a worker."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), f"shared {uuid.uuid4().hex}"
+
+    def get():
+        kept = _kept_in_worker()
+        if kept.get("shared", ("",))[0] != key:  # the last value only
+            kept["shared"] = key, pickle.loads(sent.value)
+        return kept["shared"][1]
+
+    return get
+
+
+def _kept_in_worker() -> dict:
+    return sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
 
 
 def once_a_worker(key: str, make):
     """What ``make`` returns, made once in a Python worker's life, whatever tasks it runs."""
-    kept = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
+    kept = _kept_in_worker()
     if key not in kept:
         kept[key] = make()
     return kept[key]
@@ -105,18 +121,27 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % n
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held_out: int, folds: int, per_class: int) -> tuple[list[tuple[str, int]], list[int]]:
+def hash_bound(share: float) -> int:
+    """At most this are ``share`` of all 64-bit hashes, on average."""
+    return min(int(min(1.0, share) * 2.0**64) - (1 << 63), (1 << 63) - 1)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held_out: int, folds: int, per_class: int, longest: int = LONGEST_SAMPLE) -> tuple[list[tuple[str, int]], list[int]]:
     """Whole texts and labels of at most ``per_class`` rows a class, and the class counts of all labels that may be used.
 
-    The rows are those with the smallest hash of the id, which is a fixed random sample.
+    The rows are those with the smallest hash of the id, which is a fixed random sample; texts of more
+    than ``longest`` bytes are not learned from.  An id with several labels has the largest one, an id
+    with several texts the least one, so that reruns agree.
     """
-    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out)).select("doc_id", F.col(label).cast("int").alias("y"))
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
+    usable = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for y in (0, 1)]
     by_id = {r["doc_id"]: r["y"] for rows in chosen for r in rows}
     if not by_id:
         return [], [0, 0]
-    got = documents.where(F.col("doc_id").isin(list(by_id))).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    texts = documents.where(F.col("doc_id").isin(list(by_id))).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    got = texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     return [(r["text"] or "", by_id[r["doc_id"]]) for r in sorted(got, key=lambda r: r["doc_id"])], [counts.get(0, 0), counts.get(1, 0)]
 
 
@@ -223,3 +248,24 @@ def running(data: np.ndarray, code: np.ndarray) -> np.ndarray:
 def span_hash(run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = powers(len(run))
     return mix((run[ends] - run[starts]) * down[starts])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray, most: int = SLICE_BYTES) -> np.ndarray:
+    """A 64-bit hash of each word; arrays of about ``most`` bytes of text are held at a time, whatever the text's length."""
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = int(np.searchsorted(ends, base + most, "right"))
+        if hi > lo:
+            out[lo:hi] = span_hash(running(data[base : int(ends[hi - 1])], code), starts[lo:hi] - base, ends[lo:hi] - base)
+            lo = hi
+            continue
+        up, _ = powers(most)  # one longer word, part by part
+        total, ahead = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+        for at in range(base, int(ends[lo]), most):
+            part = data[at : min(at + most, int(ends[lo]))]
+            total += ahead * np.sum(code[part] * up[: len(part)], dtype=np.uint64)
+            ahead = ahead * (up[most - 1] * up[1 : 2])
+        out[lo : lo + 1] = mix(total)
+        lo += 1
+    return out

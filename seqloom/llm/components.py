@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star (Kiveris et al., 2014).
 
 Edges stay in the cluster; only their count and a checksum reach the driver.  Every round is a
-pair of map-side combined minima and joins on the node, which adaptive execution splits where a
-star has a hot centre, and ends in a scratch table, so a lost executor costs one round.
+pair of minima over neighbours, handed back to the edges, and ends in a scratch table, so a lost
+executor costs one round.  Minima are made, and handed back, over the node and a salt of the
+neighbour, so that a star's hot centre is spread over ``_SALTS`` keys.
 """
 
 from __future__ import annotations
@@ -13,15 +14,24 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+_SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges(u, v)`` with m, the least v of the u."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALTS)))
+    part = salted.groupBy("u", "salt").agg(F.min("v").alias("p"))
+    whole = part.groupBy("u").agg(F.min("p").alias("m"))
+    return salted.join(part.select("u", "salt").join(whole, "u"), ["u", "salt"]).select("u", "v", "m")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges point from the larger to the smaller node (u > v)."""
     if large:  # every neighbour; those larger than u move to the least
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     else:  # the smaller neighbours and u itself move to the least of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
+        moved = _with_least(edges).select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
 
 
