@@ -1,12 +1,15 @@
 """Packing token sequences by first-fit decreasing.
 
 ``pack`` tokenizes each whole text, adds the end id, and cuts only what exceeds a sequence.
-Documents are dealt at random (a hash of the id) to groups of about ``group_docs``; in each
-group a tournament tree over bin capacities finds the first bin with room in O(log bins).
-Only piece metadata are shuffled: ids and checksums are made where the text is read.
-
-Null and empty texts are one piece that holds the end id.  Rows that repeat a doc_id, or have
-none, are packed as documents of their own.  Sequence ids are unique, not gapless.
+Pieces are dealt at random to groups of about ``group_docs``; in each group a tournament tree over
+bin capacities finds the first bin with room in O(log bins).  Only piece metadata are shuffled: ids
+and checksums are made where the text is read.  They are written before they are dealt, with the
+row's place in its partition, which deals repeated ids, null ids and equal texts evenly too.
+
+Null and empty texts are one piece that holds the end id; an empty table has none.  Rows that repeat
+a doc_id, or have none, are packed as documents of their own; equal lengths go by id, place and start.
+Sequence ids are unique, not gapless; of extra columns none is returned, so no name clashes.  A long text is
+encoded in parts, cut at single blanks between visible characters, so it costs its ids, 4 bytes each.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, once_a_worker, slices
+from .common import Scratch, in_small_batches, once_a_worker, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -75,31 +78,50 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 class Fragments(dict):
     """Ids of fragments, with a blank before each; what is not known yet is encoded when it is asked for."""
 
+    longest = 64  # longer ones are rare, and are not remembered
+
     def __init__(self, encode, blank: str):
         super().__init__()
         self.encode, self.blank = encode, blank
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = array("I", self.encode(self.blank + word)).tobytes()
+        ids = array("I", self.encode(self.blank + word)).tobytes()
+        if len(word) <= self.longest:
+            self[word] = ids
         return ids
 
 
+#: a single blank between visible characters, which no token crosses
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts_of(text: str, most: int) -> list[str]:
+    """The text cut at seams, whose blanks go, into parts that reach the first seam behind ``most`` characters."""
+    out, lo = [], 0
+    while len(text) - lo > most and (seam := _SEAM.search(text, lo + most)):
+        out.append(text[lo : seam.start()])
+        lo = seam.end()
+    return [*out, text[lo:]]
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never joins what a single space between two visible characters parts, so such
     a text is the concatenation of its fragments, and a fragment met before costs one lookup.
-    Other texts (runs of blanks, blanks at an end, special tokens) go to the tokenizer whole.
+    Of other texts (runs of blanks, blanks at an end, special tokens), and of long ones, the parts of ``part``
+    characters that are so inside go to the tokenizer whole, and the rest by fragments.
     With ``ranks``, new fragments are encoded from the same vocabulary's byte ranks, which gives
     the same ids several times faster.  At most ``most`` fragments are remembered.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, most: int = 200_000):
+    def __init__(self, path: str, ranks: str | None = None, most: int = 200_000, part: int = 512):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        encode = lambda w: self.tok.encode(w, add_special_tokens=False).ids
+        self.tok, self.most, self.part = Tokenizer.from_file(path), most, part
+        slow = lambda w: self.tok.encode(w, add_special_tokens=False).ids
+        encode = slow
         if ranks:
             import base64
 
@@ -108,57 +130,69 @@ class Encoder:
 
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+            # a very long fragment would take the square of its length there
+            encode = lambda w: fast(w) if len(w) < 4096 else slow(w)
         self.first, self.rest = Fragments(encode, ""), Fragments(encode, " ")
-        special = "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())
+        tokens = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        special = "|".join(map(re.escape, tokens))
         self.odd = re.compile(r"^\s| \s|\s |\s$" + f"|{special}" * bool(special)).search
+        self.seams = not any(" " in t for t in tokens)
+
+    def _text(self, text: str) -> bytes:
+        known, out = self.first, []
+        parts = parts_of(text, self.part) if self.seams and (len(text) > 1 << 16 or self.odd(text)) else [text]
+        for part in parts:
+            if self.odd(part):
+                out.append(array("I", self.tok.encode(known.blank + part, add_special_tokens=False).ids).tobytes())
+            else:
+                head, *rest = part.split(" ")
+                out.append(known[head] + b"".join(map(self.rest.__getitem__, rest)))
+            known = self.rest
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         for known in (self.first, self.rest):
             if len(known) > self.most:
                 known.clear()
-        out: list = []
-        for text in texts:
-            if self.odd(text):
-                out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
-            else:
-                head, *rest = text.split(" ")
-                out.append(self.first[head] + b"".join(map(self.rest.__getitem__, rest)))
-        return out
+        return list(map(self._text, texts))
 
 
 def pieces(documents: DataFrame, length: int = 1024, tokenizer: tuple[str, str | None] | None = None, end_id: int = 0) -> DataFrame:
-    """One row per piece; every piece but a document's last one fills a sequence."""
+    """One row per piece, with its row's place; every piece but a document's last one fills a sequence."""
     path, end, step = tokenizer or default_tokenizer(), end_id.to_bytes(4, "little"), 4 * length
 
     def run(batches):
-        encode = once_a_worker(f"encoder {path}", lambda: Encoder(*path))
+        from pyspark import TaskContext
+
+        encode, place = once_a_worker(f"encoder {path}", lambda: Encoder(*path)), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo, hi in slices(texts):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 encoded = encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 for doc, raw in zip(ids.slice(lo, hi - lo).to_pylist(), encoded):
                     raw += end
                     for s in range(0, len(raw), step):
                         piece = raw[s : s + step]
-                        for column, value in zip(out, (doc, s // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4)):
+                        for column, value in zip(out, (doc, s // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4, place)):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    place += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
-    return in_small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return in_small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{PIECES}, place long")
 
 
 def pack(documents: DataFrame, length: int = 1024, tokenizer: tuple[str, str | None] | None = None, end_id: int = 0, group_docs: int = 2048, seed: int = 17) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; see the module."""
-    groups = max(1, -(-documents.count() // group_docs))
+    cut = Scratch(documents.sparkSession, "pack").table(pieces(documents, length, tokenizer, end_id), "pieces")
+    groups = max(1, -(-cut.count() // group_docs))
 
     def assign(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable", ignore_index=True)
+        frame = frame.sort_values(["doc_id", "place", "start"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(np.int64), length)
         frame["sequence_id"], frame["offset"] = (int(key[0]) << 32) + bins, offsets
-        return frame.drop(columns="grp")
+        return frame.drop(columns=["grp", "place"])
 
-    # a repeated id spreads by its tokens; the pieces of one row may meet in different groups
-    grp = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups))
-    return pieces(documents, length, tokenizer, end_id).withColumn("grp", grp).groupBy("grp").applyInPandas(assign, PACKED)
+    grp = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "place", "start"), F.lit(groups))
+    return cut.withColumn("grp", grp).groupBy("grp").applyInPandas(assign, PACKED)
