@@ -8,7 +8,10 @@ The field learns words, affixes, n-grams and transitions from these tokens.  Mar
 forward-backward give spans; their sum and maximum give the score, calibrated on the labelled texts.
 
 Learned from at most ``per_class`` labelled rows a class.  Null and empty texts have no toxic token and get
-the score of a text without evidence.  Rows are judged one by one; other columns pass through ``score``.
+the score of a text without evidence; an empty table gives none, and where one class or no label is known, all
+texts get the (smoothed) share of toxic labels.  Rows are judged one by one, so repeated rows and rows without an id
+get their text's score, and a score of exactly 0.5 counts as toxic.  Long texts are labelled in windows.  Other columns
+pass through ``score``, but for the text; its own columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -48,14 +51,18 @@ def explaining_words(hashes: list[np.ndarray], toxic: np.ndarray, least_docs: in
     return np.unique(np.array(out, np.uint64))
 
 
-def evidence(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Per document: a constant, the log of the sum of marginals, and of the greatest one's odds."""
+def gather(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per document: the sum of marginals and the greatest one."""
     total = np.concatenate([[0.0], np.cumsum(p)])
-    sums = total[bounds[1:]] - total[bounds[:-1]]
-    top = np.zeros(len(sums))
+    top = np.zeros(len(bounds) - 1)
     some = np.flatnonzero(np.diff(bounds) > 0)
     if len(some):
         top[some] = np.maximum.reduceat(p, bounds[some])
+    return total[bounds[1:]] - total[bounds[:-1]], top
+
+
+def evidence(sums: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Per document: a constant, the log of the sum of marginals, and of the greatest one's odds."""
     top = np.clip(top, 1e-4, 1 - 1e-4)
     return np.stack([np.ones(len(sums)), np.log(np.maximum(sums, 0) + 0.05), np.log(top / (1 - top))], 1)
 
@@ -107,35 +114,42 @@ class ToxicModel:
         x = []
         for i in range(0, len(texts), 64):
             w = _words(texts[i : i + 64])
-            x.append(evidence(model.posterior(w)[:, TOXIC], w.bounds))
+            x.append(evidence(*gather(model.posterior(w)[:, TOXIC], w.bounds)))
         share = np.array([counts[v] / max(1, int((y == v).sum())) for v in y])
         return cls(model, calibrate(np.concatenate(x), y.astype(float), share / share.mean()))
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, Words | None, np.ndarray]:
-        data, off = flat(texts)
-        if self.model is None:
-            return np.full(len(texts), 1 / (1 + np.exp(-self.calibration[0]))), None, np.zeros(0)
-        w = words_of(data, off)
-        p = self.model.posterior(w)[:, TOXIC]
-        return 1 / (1 + np.exp(-np.clip(evidence(p, w.bounds) @ self.calibration, -30, 30))), w, p
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """Scores, and spans at the usual bound."""
+        return self.spans(texts)
 
     def spans(self, texts: pa.Array, at: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """Scores, and per text the character offsets of runs of toxic words, ends exclusive."""
-        score, w, p = self.score(texts)
-        if w is None:
-            return score, [[] for _ in range(len(texts))]
-        data, off = flat(texts)
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
-        hit = np.flatnonzero(p >= at)
-        if len(hit):
-            whole = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            row = np.searchsorted(w.bounds, hit, "right") - 1
-            begins = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(row) > 0)]))
-            for a, b in zip(begins, [*begins[1:], len(hit)]):
-                r = int(row[a])
-                base = int(whole[off[r]])
-                out[r].append((int(whole[w.starts[hit[a]]]) - base, int(whole[w.ends[hit[b - 1]]]) - base))
-        return score, out
+        if self.model is None:
+            return np.full(len(texts), 1 / (1 + np.exp(-self.calibration[0]))), out
+        data, off = flat(texts)
+        sums, top = np.zeros(len(texts)), np.zeros(len(texts))
+        chars, running_on = 0, False  # characters before the window; whether its first word goes on a run
+        for lo, hi, w, p in self.model.labelled(data, off):
+            p = p[:, TOXIC]
+            more, best = gather(p, w.bounds)
+            sums, top = sums + more, np.maximum(top, best)
+            hit = np.flatnonzero(p >= at)
+            if len(hit):
+                whole = np.concatenate([[0], np.cumsum((data[lo:hi] & 0xC0) != 0x80)])
+                row = np.searchsorted(w.bounds, hit, "right") - 1
+                begins = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(row) > 0)]))
+                for a, b in zip(begins, [*begins[1:], len(hit)]):
+                    r = int(row[a])
+                    base = -chars if lo else int(whole[off[r]])
+                    begin, end = int(whole[w.starts[hit[a]]]) - base, int(whole[w.ends[hit[b - 1]]]) - base
+                    if hit[a] == 0 and running_on:
+                        begin = out[r].pop()[0]
+                    out[r].append((begin, end))
+            if hi < len(data):
+                chars += int(((data[lo:hi] & 0xC0) != 0x80).sum())
+                running_on = bool(len(hit) and hit[-1] == len(p) - 1) if len(p) else running_on
+        return 1 / (1 + np.exp(-np.clip(evidence(sums, top) @ self.calibration, -30, 30))), out
 
 
 def _words(texts: list[bytes]) -> Words:

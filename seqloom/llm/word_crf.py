@@ -5,6 +5,11 @@ byte 2-, 3- and 4-grams with both word ends marked (so affixes are among them).
 hashed table; transitions between the states of neighbouring words are learned with them, by
 gradient steps on the conditional likelihood, whose expectations come from forward-backward.
 Words are letters of ASCII and bytes of other characters, in lower case where bytes keep their length.
+
+A long text is labelled in windows of about ``SLICE_BYTES``: one pass takes each window's effect on the
+states, a second one its marginals with what stands before and behind, which gives the marginals of
+the whole chain in the memory of a window.  There, a run of letters longer than a window is cut into
+words of a window's length.
 """
 
 from __future__ import annotations
@@ -13,8 +18,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .chain import marginals
-from .common import CODE, LETTERS, LOWER, running, span_hash, spans
+from .chain import marginals, transfer
+from .common import CODE, LETTERS, LOWER, SLICE_BYTES, spans, word_hashes
 
 _TWO, _THREE, _FOUR, _WORD = 0, 1 << 16, 1 << 17, 1 << 18
 TABLE = (1 << 18) + (1 << 18) + 1  # the last row is the weight of what is not there
@@ -54,7 +59,7 @@ class Words:
 def words_of(data: np.ndarray, off: np.ndarray) -> Words:
     low = lowered(data)
     starts, ends, bounds = spans(low, off, LETTERS)
-    hashes, one, kind = np.unique(span_hash(running(low, CODE), starts, ends), return_index=True, return_inverse=True)
+    hashes, one, kind = np.unique(word_hashes(low, starts, ends, CODE), return_index=True, return_inverse=True)
     s, size = starts[one], (ends - starts)[one] + 2
     at = np.zeros(len(s), np.int64)
     at[1:] = np.cumsum(size)[:-1]
@@ -73,6 +78,20 @@ def words_of(data: np.ndarray, off: np.ndarray) -> Words:
     return Words(starts, ends, bounds, kind.reshape(-1), grams, at, own, hashes)
 
 
+def windows(data: np.ndarray, most: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """Ranges of about ``most`` bytes, cut where no word is, or in a longer word between characters."""
+    out, lo = [], 0
+    while len(data) - lo > 2 * most:
+        ahead = data[lo + most : lo + 2 * most]
+        free = np.flatnonzero(~LETTERS[ahead])
+        if not len(free):
+            free = np.flatnonzero((ahead & 0xC0) != 0x80)[-1:]
+        hi = lo + most + (int(free[0]) if len(free) else most)
+        out.append((lo, hi))
+        lo = hi
+    return [*out, (lo, len(data))]
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # (TABLE, K)
@@ -93,6 +112,36 @@ class Model:
     def posterior(self, w: Words, pairs: bool = False):
         return marginals(self.emissions(w)[w.kind].astype(np.float64), w.first, self.trans, self.start, pairs)
 
+    def labelled(self, data: np.ndarray, off: np.ndarray, most: int = SLICE_BYTES):
+        """(first byte, last byte, words, marginals) of the texts: all at once, or the windows of one long text."""
+        cuts = windows(data, most) if len(off) == 2 else [(0, len(data))]
+        if len(cuts) == 1:
+            w = words_of(data, off)
+            yield 0, len(data), w, self.posterior(w)
+            return
+
+        def part(i: int):
+            lo, hi = cuts[i]
+            w = words_of(data[lo:hi], np.array([0, hi - lo]))
+            first = w.first
+            first[:1] &= not seen[i]  # words stand before it
+            return w, self.emissions(w)[w.kind].astype(np.float64), first
+
+        seen, effect = [False], []
+        for i in range(len(cuts)):
+            w, emit, first = part(i)
+            effect.append(transfer(emit, first, self.trans, self.start))
+            seen.append(seen[-1] or len(w.starts) > 0)
+        k = len(self.start)
+        into, back = [np.full(k, 1.0 / k)], [np.full(k, 1.0 / k)]
+        for i in range(len(cuts) - 1):
+            v, b = into[-1] @ effect[i], effect[-1 - i] @ back[-1]
+            into.append(v / v.sum())
+            back.append(b / b.sum())
+        for i, (lo, hi) in enumerate(cuts):
+            w, emit, first = part(i)
+            yield lo, hi, w, marginals(emit, first, self.trans, self.start, into=into[i] if seen[i] else None, back=back[-1 - i])
+
 
 def fit(texts: list[bytes], tags, states: int, epochs: int = 3, rate: float = 0.15, batch: int = 40_000, seed: int = 11, together: int = 1, l2: float = 1e-6) -> Model:
     """Maximum conditional likelihood by adaptive gradient steps.
