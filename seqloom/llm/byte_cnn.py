@@ -7,8 +7,11 @@ chunk, and the means and maxima of its units over all chunks give one probabilit
 
 Since inputs are one-hot, a filter's tap is a table, and a response is a sum of looked-up rows.
 Trained by backpropagation on at most ``per_class`` labelled texts a class, weighted to the classes'
-true shares.  Null and empty texts are one chunk of padding and get a score as any other.
-With one class only, or none, the score is the (smoothed) share of good labels.
+true shares.  Null and empty texts are one chunk of padding and get a score as any other; an empty table
+gives none.  With one class only, or none, the score is the (smoothed) share of good labels.
+Rows are judged one by one, so repeated rows and rows without an id get their text's score; a score at the query's
+threshold counts as 1.  A long text passes the filters in parts, so it costs two bytes a byte and its words'
+hashes.  Other columns pass through ``score``, but for the text; quality_score replaces a column of this name.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import CODE, NOT_BLANK, flat, in_small_batches, labelled_sample, running, share, slices, span_hash, spans
+from .common import CODE, LONGEST_SAMPLE, NOT_BLANK, flat, in_small_batches, labelled_sample, share, slices, spans, word_hashes
 
 HALF = 256
 TAPS = (0, 1, 2, 3, 4, 12, 20, 28)
@@ -34,18 +37,22 @@ def encode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.zeros(len(halves) + 1, np.int64)
     at[1:] = np.cumsum(halves)
     starts, ends, bounds = spans(data, off, NOT_BLANK)
-    hashes = span_hash(running(data, CODE), starts, ends)
+    hashes = word_hashes(data, starts, ends, CODE)
     same = np.zeros(len(hashes), bool)
     same[1:] = hashes[1:] == hashes[:-1]
     same[bounds[:-1][bounds[:-1] < len(same)]] = False
     more = same.copy()
     more[1:] &= same[:-1]
-    level = same.astype(np.int32) + more
-    step = np.zeros(len(data) + 1, np.int32)
+    level = same.astype(np.int8) + more
+    step = np.zeros(len(data) + 1, np.int8)
     np.add.at(step, starts[same], level[same])
     np.add.at(step, ends[same], -level[same])
-    x = np.zeros(int(at[-1]) * HALF + TAPS[-1], np.int32)
-    x[np.repeat(at[:-1] * HALF - off[:-1], size) + np.arange(len(data))] = data + 256 * np.cumsum(step)[: len(data)]
+    x = np.zeros(int(at[-1]) * HALF + TAPS[-1], np.int16)
+    symbol = np.cumsum(step[: len(data)], dtype=np.int16)
+    symbol *= 256
+    symbol += data
+    for a, lo, n in zip((at[:-1] * HALF).tolist(), off[:-1].tolist(), size.tolist()):
+        x[a : a + n] = symbol[lo : lo + n]
     return x, at
 
 
@@ -173,8 +180,8 @@ class QualityModel:
         return self.network.score(*flat(texts)) if len(texts) else np.zeros(0)
 
 
-def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000, folds: int = 5, held_out: int = 0, **parameters) -> QualityModel:
-    return QualityModel.train(*labelled_sample(documents, labels, "quality", held_out, folds, per_class), **parameters)
+def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000, folds: int = 5, held_out: int = 0, longest: int = LONGEST_SAMPLE, **parameters) -> QualityModel:
+    return QualityModel.train(*labelled_sample(documents, labels, "quality", held_out, folds, per_class, longest), **parameters)
 
 
 def score(documents: DataFrame, model: QualityModel) -> DataFrame:
