@@ -8,9 +8,11 @@ found, in text order, are matched against ordered rules: a rule is a run of iden
 a licence; what a rule has matched is taken out before the next rule is tried.  Sentences that no
 rule used are reported as such.
 
-Null and empty texts have no sentence.  Rows are scanned one by one, so repeated rows and ties get
-equal results; of a licence found twice, the count says so.  Other columns pass through ``scan``,
-whose own columns replace columns of the same names.
+Null and empty texts have no sentence, and an empty table gives none.  Rows are scanned one by one, so repeated
+rows, rows without an id and ties get equal results; of a licence found twice, the count says so; where two
+runs match at one place the longer one wins.  A long text is held as a text a few times over, and only if it has a word
+of a known sentence.  Other columns pass through ``scan``, whose own columns (sentence_ids, licenses, unused, n_known,
+_low, _match) replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -57,6 +59,8 @@ SENTENCES: dict[str, str] = {
     "MplForm": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "MplObtain": "if a copy of the mpl was not distributed with this file you can obtain one at",
     "EplNotice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "EplNoticeAt": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "SpdxEpl": "spdx license identifier epl 2 0",
     "CcByNc": "licensed under cc by nc 4 0",
     "CcBy": "licensed under cc by 4 0",
     "CcBySa": "licensed under cc by sa 4 0",
@@ -75,6 +79,13 @@ SENTENCES: dict[str, str] = {
 RULES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "ApacheNoticeThe ApacheMayNot ApacheObtain ApacheUnless ApacheSee"),
     ("Apache-2.0", "ApacheNotice ApacheMayNot ApacheObtain ApacheUnless ApacheSee"),
+    ("MIT", "MitTitle Copyright MitGrant MitNotice MitAsIs MitLiability"),
+    ("MIT", "MitTitleThe Copyright MitGrant MitNotice MitAsIs MitLiability"),
+    ("BSD-3-Clause", "Copyright Reserved BsdGrant BsdSource BsdBinary BsdEndorse BsdAsIs"),
+    ("BSD-2-Clause", "Copyright Reserved BsdGrant BsdSource BsdBinary BsdAsIs"),
+    ("BSD-3-Clause", "Copyright BsdGrant BsdSource BsdBinary BsdEndorse BsdAsIs"),
+    ("BSD-2-Clause", "Copyright BsdGrant BsdSource BsdBinary BsdAsIs"),
+    ("MIT", "Copyright MitGrant MitNotice MitAsIs MitLiability"),
     ("MIT", "MitTitle MitGrant MitNotice MitAsIs MitLiability"),
     ("MIT", "MitTitleThe MitGrant MitNotice MitAsIs MitLiability"),
     ("MIT", "MitGrant MitNotice MitAsIs MitLiability"),
@@ -84,11 +95,15 @@ RULES: tuple[tuple[str, str], ...] = (
     ("GPL-2.0-or-later", "GplFree2 GplHope GplSee GplReceived"),
     ("GPL-3.0-or-later", "GplFree GplHope GplSee"),
     ("GPL-2.0-or-later", "GplFree2 GplHope GplSee"),
+    ("ISC", "Copyright IscGrant IscAsIs"),
     ("ISC", "IscGrant IscAsIs"),
     ("MPL-2.0", "MplForm MplObtain"),
     ("MIT", "MitGrant MitNotice MitAsIs"),
     ("MPL-2.0", "MplForm"),
+    ("EPL-2.0", "EplNoticeAt SpdxEpl"),
+    ("EPL-2.0", "EplNoticeAt"),
     ("EPL-2.0", "EplNotice"),
+    ("EPL-2.0", "SpdxEpl"),
     ("Apache-2.0", "ApacheNoticeThe"),
     ("Apache-2.0", "ApacheNotice"),
     ("Apache-2.0", "SpdxApache"),
