@@ -5,8 +5,10 @@ lines that say the same word over and over.  A boilerplate phrase fails a short
 phrases make up half of; a long line that mentions one is text.  Failing lines are removed, and a document is rejected
 when it loses too much of its text, or fails the base rules on words and repeated windows.
 
-Null texts are empty: they have no words and fail.  Repeated rows and ties are judged row by row.
-Other columns pass through ``clean``; its own columns replace columns of the same names.
+Null and empty texts have no words and fail; an empty table gives none.  Repeated rows and rows without an id are
+judged row by row; a share that is exactly a rule's bound passes.  A long text is held as its words and its lines,
+about ten times its size, for one row at a time.  All columns pass through ``clean``, whatever their names; ``judge``
+adds its own, which replace columns of the same names (_text, _words and _lines too).
 """
 
 from __future__ import annotations
@@ -104,9 +106,13 @@ def judge(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def clean(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that stay, without their failing lines."""
     names = documents.columns
+    # the row's own columns travel in one, so that no name meets another
+    rest = F.struct(*([c for c in names if c not in ("text", "n_chars")] or [F.lit(0).alias("_")])).alias("row")
     # a generator, for a filter would be pushed below and judge twice
-    out = judge(documents, rules).withColumn("text", F.explode(F.expr("if(kept, array(clean_text), array())")))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out).select(*names)
+    out = judge(documents.select(rest, "text"), rules).withColumn("text", F.explode(F.expr("if(kept, array(clean_text), array())")))
+    chars = documents.schema["n_chars"].dataType if "n_chars" in names else None
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast(chars or "long")}
+    return out.select(*[own[c].alias(c) if c in own else F.col("row").getField(c).alias(c) for c in names])
 
 
 def oracle(rules: Rules = Rules()) -> str:

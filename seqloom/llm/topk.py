@@ -11,8 +11,9 @@ queries are one query.  A lookup hands on only what beats the query's k-th best
 are split by adaptive execution.  Where a round's lookups would outnumber the codes, the queries
 left are held against all codes in blocks instead, which is exact as well.
 
-Null vectors, null ids, and vectors of another length have no code and are neither found nor asked.
-Ties go to the smaller id.  Repeated rows of an id are one entry where their codes are equal.
+Null vectors, null ids, and vectors of another length have no code and are neither found nor asked; an empty table
+gives none.  Ties go to the smaller id.  Repeated rows of an id are one entry where their codes are equal.  Only the id
+and the code of a row are kept, so extra columns of any name do not matter; there is no text in it.
 """
 
 from __future__ import annotations
