@@ -95,6 +95,21 @@ def test_license_words_parted_by_other_blanks(spark):
     check_licenses(spark, {t: "Public-Domain" for t in texts} | {"Licensed under CC_BY 4.0": "CC-BY-4.0"})
 
 
+def test_license_files_with_title_and_copyright(spark):
+    import textwrap
+
+    fill = lambda t: "\n".join(textwrap.wrap(t, 78))
+    epl = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    bsd = lambda t: fill("Copyright (c) 2020, A Holder") + "\nAll rights reserved.\n\n" + fill(t)
+    files = {"MIT License\n\nCopyright (c) 2020 A Holder\n\n" + fill(MIT): "MIT", "The MIT License\n\nCopyright (c) 2019-2021 A Holder\n\n" + fill(MIT): "MIT", bsd(BSD3): "BSD-3-Clause", bsd(BSD2): "BSD-2-Clause", "Copyright 2020 A Holder\n\n" + fill(ISC): "ISC", epl: "EPL-2.0", epl + "\n\nSPDX-License-Identifier: EPL-2.0\n": "EPL-2.0", "/*\n * " + fill(epl).replace("\n", "\n * ") + "\n */": "EPL-2.0"}
+    check_licenses(spark, files)
+
+
+def test_known_sentences_survive_the_cut(spark):
+    got = licenses.scan(docs(spark, list(licenses.SENTENCES.values()))).orderBy("doc_id").collect()
+    assert [r["sentence_ids"] for r in got] == [[i] for i in licenses.SENTENCES]
+
+
 def test_license_odd_rows(spark, odd):
     assert licenses.digest(odd).count() == odd.count()
     assert licenses.digest(odd.limit(0)).count() == 0
