@@ -69,6 +69,13 @@ def logsum(a: Column, b: Column) -> Column:
     return F.when(~ok(a), b).when(~ok(b), a).otherwise(F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))
 
 
+def logsum_all(a: Column) -> Column:
+    """log of the sum of exp over an array; infinities and nulls count as missing, null where nothing is left."""
+    some = F.filter(a, lambda x: x.isNotNull() & (F.abs(x) != float("inf")))
+    top = F.array_max(some)
+    return top + F.log(F.aggregate(some, F.lit(0.0), lambda t, x: t + F.exp(x - top)))
+
+
 def entropy_bits(p: Column) -> Column:
     """Of an array of probabilities; what is not positive counts nothing."""
     return -F.aggregate(F.filter(p, lambda x: x > 0), F.lit(0.0), lambda a, x: a + x * F.log2(x))

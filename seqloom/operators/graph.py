@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import settle
+from ..session import release, settle
 
 _DIGITS = 9  # similarities are compared after rounding, so that ranks do not hang on the last bit
 
@@ -24,14 +24,16 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.withColumn("_n", norm).where("_n > 0").select("node", F.transform("v", lambda x: x / F.col("_n")).alias("vector"))
 
 
-def _best(rows: np.ndarray, others: np.ndarray, sim: np.ndarray, k: int, least: float) -> list[pd.DataFrame]:
+def _best(rows: np.ndarray, others: np.ndarray, sim: np.ndarray, k: int, least: float) -> pd.DataFrame:
     """Each row's k most similar others, ties to the smaller id."""
-    order = np.argsort(others, kind="stable")
-    others, sim = others[order], sim[:, order]
-    take = min(k + 1, len(others))
-    top = np.argsort(-sim, axis=1, kind="stable")[:, :take]
-    frame = pd.DataFrame({"src": np.repeat(rows, take), "dst": others[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()})
-    return [frame[(frame["src"] != frame["dst"]) & (frame["sim"] > least)]]
+    take = min(k + 1, len(others))  # a node may meet itself
+    floor = np.partition(sim, len(others) - take, axis=1)[:, len(others) - take]
+    r, c = np.nonzero((sim >= floor[:, None]) & (sim > least))
+    order = np.lexsort((others[c], -sim[r, c], r))
+    r, c = r[order], c[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    keep = (nth < take) & (rows[r] != others[c])
+    return pd.DataFrame({"src": rows[r[keep]], "dst": others[c[keep]], "sim": sim[r[keep], c[keep]]})
 
 
 def _dense(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
@@ -63,15 +65,25 @@ def _sparse(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return out.reshape(len(a), len(b))
 
 
-def nearest(nodes: DataFrame, k: int, least: float = 0.0, block: int = 512, sparse: bool = False) -> DataFrame:
+def block_pairs(nodes: DataFrame, parts: int) -> DataFrame:
+    """``nodes`` with b, their block, once for each pair of blocks (p, q), p <= q, that the block is in."""
+    dealt = nodes.withColumn("b", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(F.least("b", j).alias("p"), F.greatest("b", j).alias("q")))
+    return dealt.withColumn("g", F.explode(pair)).select("*", "g.p", "g.q").drop("g")
+
+
+def nearest(nodes: DataFrame, k: int, least: float = 0.0, block: int = 2048, sparse: bool = False) -> DataFrame:
     """(src, dst, sim, rank): each node's k most similar ones above ``least``, exactly.
 
     ``nodes``: ``(node, vector)``, or with ``sparse`` ``(node, feature array<long>, value array<double>)``.
     Nodes are dealt to blocks; every pair of blocks is one task, which hands on k rows a node, never pairs.
+    A vector is copied once for each block: the work grows with the square of the nodes, as exact search
+    does, the copies with the square over ``block``, and a task holds ``block`` squared similarities.
     """
+    columns = ["node", "feature", "value"] if sparse else ["node", "vector"]
+    nodes = settle(nodes.select(*columns))
     parts = max(1, -(-nodes.count() // block))
     product = _sparse if sparse else _dense
-    columns = ["node", "feature", "value"] if sparse else ["node", "vector"]
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         p, q = key
@@ -80,14 +92,12 @@ def nearest(nodes: DataFrame, k: int, least: float = 0.0, block: int = 512, spar
         if len(a) and len(b):
             sim = np.round(product(a, b), _DIGITS)
             x, y = a["node"].to_numpy(), b["node"].to_numpy()
-            out += _best(x, y, sim, k, least)
+            out.append(_best(x, y, sim, k, least))
             if p != q:
-                out += _best(y, x, sim.T, k, least)
+                out.append(_best(y, x, np.ascontiguousarray(sim.T), k, least))
         return pd.concat(out) if out else pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
 
-    dealt = nodes.select(*columns, F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("b"))
-    dealt = dealt.withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(F.least("b", j).alias("p"), F.greatest("b", j).alias("q")))))
-    found = dealt.select(*columns, "b", F.col("g.p").alias("p"), F.col("g.q").alias("q")).groupBy("p", "q").applyInPandas(solve, "src long, dst long, sim double")
+    found = block_pairs(nodes, parts).groupBy("p", "q").applyInPandas(solve, "src long, dst long, sim double")
     w = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -154,6 +164,12 @@ def gradient(edges: DataFrame, q: DataFrame, frequencies: DataFrame, states: int
     return out.select("node", F.zip_with("p", "pull", lambda p, s: p * F.col("degree") - s).alias("g"), "freq").select("node", F.transform("g", lambda x: x / F.col("freq")).alias("grad"))
 
 
+def norms(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the squared norm of all entries of an array column, and the norm."""
+    own = F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x * x)
+    return rows.agg(F.sum(own).alias("squared")).select("squared", F.sqrt("squared").alias("norm"))
+
+
 def seed_distribution(nodes: DataFrame, states: int) -> DataFrame:
     """(node, fixed, p) of ``nodes(node, label)``; a null label is uniform and free."""
     hot = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda k: (k == F.col("label")).cast("double"))
@@ -183,18 +199,43 @@ def roughness(edges: DataFrame, q: DataFrame) -> float:
 def propagate(edges: DataFrame, q: DataFrame, states: int, iterations: int = 3000, step: float = 0.05, stop: float = 1e-4) -> tuple[DataFrame, int, float]:
     """Label propagation until the relative change of roughness is small: (q, iterations, roughness).
 
-    An iteration is one job that ends in a durable table, and a sum over it.
+    An iteration is one job that ends in a durable table, and a sum over it; the table before it is deleted.
     """
     edges, q, before, r = settle(edges), settle(q), 0.0, 0.0
     for t in range(iterations):
         moved = settle(propagate_once(edges, q, states, step / (1 + t**0.5)))
         r = float(moved.agg(F.sum("rough")).first()[0] or 0.0)
         if t and before and abs((r - before) / before) < stop:
+            release(moved)
             return q, t, r
+        release(q)
         before, q = r, moved
     return q.select("node", "fixed", "p"), iterations, r
 
 
+def coverage(sequences: DataFrame, punctuation: int | None = None) -> DataFrame:
+    """One row over ``sequences(tags, nodes, is_labeled)``: tokens, those on the graph of train and test, test punctuation off the graph, test tokens."""
+    t = sequences.select("is_labeled", F.explode(F.arrays_zip("tags", "nodes")).alias("t")).select("is_labeled", "t.tags", "t.nodes")
+    on, count = F.col("nodes").isNotNull(), lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    mark = ~on & (F.col("tags") == punctuation) if punctuation is not None else F.lit(False)
+    other = ~F.col("is_labeled")
+    return t.agg(F.count("*").alias("tokens"), count(on & F.col("is_labeled")).alias("train_covered"), count(on & other).alias("test_covered"), count(mark & other).alias("test_punct"), count(other).alias("test_all"))
+
+
+def test_accuracy(sequences: DataFrame, labels: DataFrame, punctuation: int | None = None) -> DataFrame:
+    """One row: acc, in percent of all test tokens: those whose node's label is their tag, and punctuation off the graph."""
+    t = sequences.where("not is_labeled").select(F.explode(F.arrays_zip("tags", "nodes")).alias("t")).select("t.tags", F.col("t.nodes").alias("node"))
+    # a node's tokens are counted once a tag, so that the join is one row a node and tag
+    per = t.groupBy("node", "tags").agg(F.count("*").alias("n")).join(labels, "node", "left")
+    right = F.col("label") == F.col("tags")
+    if punctuation is not None:
+        right = F.when(F.col("node").isNull(), F.col("tags") == punctuation).otherwise(right)
+    return per.agg((100.0 * F.sum(F.when(right, F.col("n")).otherwise(0)) / F.sum("n")).alias("acc"))
+
+
+test_accuracy.__test__ = False  # not a test, whatever its name
+
+
 def hard_labels(q: DataFrame) -> DataFrame:
     from ..functions.text import argmax
 

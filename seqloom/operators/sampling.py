@@ -27,19 +27,34 @@ class Lcg:
                 return v
 
 
-def draw(pool: list[int], n: int, seed: int = 12345) -> list[int]:
-    """``n`` different members in drawing order, by rejection."""
-    if n > len(set(pool)):
-        raise ValueError(f"{n} of {len(set(pool))} members")
+def draw_places(size: int, n: int, seed: int = 12345) -> list[int]:
+    """``n`` different places below ``size`` in drawing order, by rejection; nothing of the pool itself is held."""
+    if n > size:
+        raise ValueError(f"{n} of {size} members")
     rng, out, seen = Lcg(seed), [], set()
     while len(out) < n:
-        v = pool[rng.next_int(len(pool))]
-        if v not in seen:
+        if (v := rng.next_int(size)) not in seen:
             seen.add(v)
             out.append(v)
     return out
 
 
+def draw(pool: list[int], n: int, seed: int = 12345) -> list[int]:
+    """``n`` different members in drawing order."""
+    return [pool[i] for i in draw_places(len(pool), n, seed)]
+
+
+def draw_fold(rows: DataFrame, labels: int, folds: int, fold: int, seed: int = 12345, key: str = "seq_id") -> DataFrame:
+    """(key, is_labeled) of the drawn members: ``labels * folds`` places of ``rows``, the pool, in the key's order.
+
+    The ``fold``-th ``labels`` of them are labelled.  Keys are gapless, so a place is a difference of keys.
+    """
+    pool = rows.agg(F.min(key).alias("lo"), F.count("*").alias("n")).first()
+    places = draw_places(pool["n"], labels * folds, seed)
+    mine = [(int(pool["lo"]) + p,) for p in places[fold * labels : (fold + 1) * labels]]
+    return rows.sparkSession.createDataFrame(mine, f"{key} long").withColumn("is_labeled", F.lit(True))
+
+
 def ordered_sample(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of a seeded order: a top-n, not a sort of all rows."""
     return rows.orderBy(*order).limit(n)

@@ -110,6 +110,19 @@ def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
     return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+UNKNOWN_WORD, UNKNOWN_TAG, UNKNOWN_ID = "<unk>", "<unk_t>", -1
+
+
+def names_of(ids: DataFrame, dictionary: DataFrame, id_col: str = "id", name: str = "token", default: str = UNKNOWN_WORD) -> DataFrame:
+    """``ids`` with the names that ``dictionary(id, name)`` has for them, or the default."""
+    return ids.join(dictionary.select(id_col, name), id_col, "left").withColumn(name, F.coalesce(name, F.lit(default)))
+
+
+def ids_of(names: DataFrame, dictionary: DataFrame, id_col: str = "id", name: str = "token") -> DataFrame:
+    """``names`` with the ids that ``dictionary(id, name)`` has for them, or -1."""
+    return names.join(dictionary.select(id_col, name), name, "left").withColumn(id_col, F.coalesce(id_col, F.lit(UNKNOWN_ID)))
+
+
 def neighbours(tokens: DataFrame, *columns: str) -> DataFrame:
     """prev_/next_ of the columns within the sequence; null at its ends."""
     w = Window.partitionBy("seq_id").orderBy("pos")

@@ -1,6 +1,11 @@
 """Readers and writers of tab separated files.  One ``encoding`` holds for all of them.
 
 Files keep their ids from 1; tables count nodes and graph ids from 0.  Malformed rows are skipped.
+
+Where the order of lines matters, files are still read split by split: a line's number is its place in its
+split and the number of lines in the splits before, and running counts over lines are made in stretches
+of ``STRETCH`` lines, to which the sums of the stretches before are added.  One row a split or a
+stretch is sorted by itself, never a file.
 """
 
 from __future__ import annotations
@@ -10,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fields, trim_all
+from ..session import settle
+
+STRETCH = 1 << 20
 
 
 def paths(text: str | list[str]) -> list[str]:
@@ -18,15 +26,47 @@ def paths(text: str | list[str]) -> list[str]:
 
 
 def lines(spark: SparkSession, files: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """(fold, line_no, line): the fold is the file's place in the list.  A file is one row at first, so that lines keep their order."""
+    """(fold, line_no, line): the fold is the path's place in the list; files of one path follow each other by name."""
     out = None
     for i, path in enumerate(paths(files)):
-        whole = spark.read.format("binaryFile").load(path).select(F.lit(i).alias("fold"), F.decode("content", encoding).alias("c"))
-        rows = whole.select("fold", F.posexplode(F.split(F.regexp_replace("c", "\r?\n\\z", ""), "\r?\n")).alias("line_no", "line"))
+        rows = _whole(spark, path, encoding) if encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")) else _split(spark, path, encoding)
+        rows = rows.select(F.lit(i).alias("fold"), "line_no", "line")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _split(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    value = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.regexp_replace(value, "\r\\z", "").alias("line"))
+    # the lines of a split are read in order, by one task
+    per = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(F.broadcast(per), ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line_no"), "line")
+
+
+def _whole(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Encodings whose line ends are not bytes of their own cannot be split: a file is one row at first."""
+    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("c"))
+    return whole.select(F.posexplode(F.split(F.regexp_replace("c", "\r?\n\\z", ""), "\r?\n")).alias("line_no", "line"))
+
+
+def numbered(rows: DataFrame, is_break: Column, stretch: int = STRETCH) -> DataFrame:
+    """Rows ``(fold, line_no, ...)`` that do not break, with ``run``, gapless from 0 in each fold, and ``closed``: a break follows it somewhere."""
+    x = rows.withColumns({"_s": F.floor(F.col("line_no") / stretch), "_brk": is_break})
+    ends = x.groupBy("fold", "_s").agg(F.max_by("_brk", "line_no").alias("_end"), F.max(F.when(F.col("_brk"), F.col("line_no"))).alias("_stop"))
+    in_fold = Window.partitionBy("fold").orderBy("_s")
+    ends = ends.select("fold", "_s", F.coalesce(F.lag("_end").over(in_fold), F.lit(True)).alias("_open"), F.max("_stop").over(Window.partitionBy("fold")).alias("_stop"))
+    w = Window.partitionBy("fold", "_s").orderBy("line_no")
+    x = x.join(F.broadcast(ends), ["fold", "_s"])
+    first = (~F.col("_brk") & F.coalesce(F.lag("_brk").over(w), F.col("_open"))).cast("long")
+    x = settle(x.withColumn("_first", first).withColumn("_n", F.sum("_first").over(w)))
+    sums = x.groupBy("fold", "_s").agg(F.sum("_first").alias("_all"))
+    sums = sums.select("fold", "_s", F.coalesce(F.sum("_all").over(in_fold.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = x.where(~F.col("_brk")).join(F.broadcast(sums), ["fold", "_s"])
+    return out.withColumns({"run": F.col("_before") + F.col("_n") - 1, "closed": F.coalesce(F.col("_stop") > F.col("line_no"), F.lit(False))}).drop("_s", "_brk", "_open", "_stop", "_first", "_n", "_before")
+
+
 def _table(spark: SparkSession, files, schema: str, encoding: str, least: int) -> DataFrame:
     """Rows with at least ``least`` fields, read in parallel; order does not matter."""
     raw = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").schema("line string").csv(paths(files))
@@ -42,16 +82,11 @@ def read_conll(spark: SparkSession, files, encoding: str = "UTF-8", legacy: bool
     ``legacy`` drops a last sentence that no break follows.
     """
     rows = lines(spark, files, encoding).withColumn("f", F.split(trim_all(F.col("line")), "\t"))
-    is_break = F.size("f") < 5
-    w = Window.partitionBy("fold").orderBy("line_no")
-    rows = rows.withColumns({"brk": is_break, "sent": F.sum(is_break.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    ended = F.max("sent").over(Window.partitionBy("fold"))
-    rows = rows.withColumn("last", ended).where(~F.col("brk"))
+    rows = numbered(rows.select("fold", "line_no", "f"), F.size("f") < 5)
     if legacy:
-        rows = rows.where("sent < last")
-    pos = F.row_number().over(Window.partitionBy("fold", "sent").orderBy("line_no")) - 1
-    number = F.dense_rank().over(Window.partitionBy("fold").orderBy("sent")) - 1
-    return rows.select("fold", number.alias("sent_id"), pos.alias("pos"), F.col("f")[1].alias("token"), trim_all(F.col("f")[4]).alias("tag"))
+        rows = rows.where("closed")
+    pos = F.row_number().over(Window.partitionBy("fold", "run").orderBy("line_no")) - 1
+    return rows.select("fold", F.col("run").alias("sent_id"), pos.alias("pos"), F.col("f")[1].alias("token"), trim_all(F.col("f")[4]).alias("tag"))
 
 
 def read_blocks(spark: SparkSession, files, encoding: str = "UTF-8") -> DataFrame:
@@ -87,6 +122,24 @@ def letter_sequences(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy("seq_id").agg(F.max("fold").alias("fold"), rows.alias("r")).select("seq_id", "fold", F.col("r.letter").alias("tags"), F.col("r.node_id").alias("nodes"), F.col("r.pixels").alias("pixels"))
 
 
+def letters_until(glyphs: DataFrame, most: int) -> DataFrame:
+    """The glyphs in file order up to the first sequence of ``most`` letters or more; letters without an end behind them go.
+
+    A sequence ends at a glyph that has no next one, and node ids number the lines.
+    """
+    rows = glyphs.withColumns({"line_no": F.col("node_id"), "_f": F.col("fold")}).withColumn("fold", F.lit(0))
+    x = rows.withColumn("_end", (F.col("next_id") < 0).cast("long")).withColumn("_s", F.floor(F.col("line_no") / STRETCH))
+    sums = x.groupBy("_s").agg(F.sum("_end").alias("_all"))
+    sums = sums.select("_s", F.coalesce(F.sum("_all").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # ends before the row: the number of its sequence
+    own = F.sum("_end").over(Window.partitionBy("_s").orderBy("line_no")) - F.col("_end")
+    x = settle(x.withColumn("_own", own).join(F.broadcast(sums), "_s").withColumn("_run", F.col("_before") + F.col("_own")))
+    runs = x.groupBy("_run").agg(F.count("*").alias("n"), F.max("_end").alias("e")).where("e = 1")
+    last = runs.agg(F.min(F.when(F.col("n") >= most, F.col("_run"))).alias("stop"), F.max("_run").alias("top")).select(F.coalesce("stop", "top").alias("_last"))
+    kept = x.join(F.broadcast(last)).where("_run <= _last").withColumn("fold", F.col("_f"))
+    return kept.select(*glyphs.columns)
+
+
 def read_graph(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(src, dst, weight), ids from 0; rows with fewer than three fields are skipped, nothing is deduplicated."""
     rows = _table(spark, path, "src long,dst long,weight double", encoding, 3).where("src is not null and dst is not null and weight is not null")

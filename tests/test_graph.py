@@ -87,3 +87,26 @@ def test_splits(spark):
     assert sorted(r["seq_id"] for r in folds.where("split = 'train'").collect()) == [6, 7, 8]
     turns = sampling.stratified_sample(rows.withColumn("s", F.col("seq_id") % 3), "s", 4, F.col("seq_id"))
     assert [(r["s"], r["round"]) for r in turns.collect()] == [(0, 0), (1, 0), (2, 0), (0, 1)]
+
+
+def test_a_vector_moves_once_for_each_block(spark):
+    rows = spark.range(300).select(F.col("id").alias("node"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("vector"))
+    assert graph.block_pairs(rows, 3).count() == 3 * 300 and graph.block_pairs(rows, 1).count() == 300
+    pairs = {(r["p"], r["q"]) for r in graph.block_pairs(rows, 3).collect()}
+    assert pairs == {(p, q) for p in range(3) for q in range(p, 3)}
+    assert graph.nearest(rows, 3, block=100).count() == 900
+
+
+def test_coverage_and_accuracy_of_tokens(spark):
+    rows = spark.createDataFrame([(0, [0, 2], [5, None], True), (1, [1, 2, 0], [5, None, 6], False), (2, [0], [None], False)], "seq_id long, tags array<int>, nodes array<long>, is_labeled boolean")
+    assert graph.coverage(rows, 2).first().asDict() == {"tokens": 6, "train_covered": 1, "test_covered": 2, "test_punct": 1, "test_all": 4}
+    labels = spark.createDataFrame([(5, 1), (6, 1)], "node long, label int")
+    assert graph.test_accuracy(rows, labels, 2).first()["acc"] == pytest.approx(50.0)
+    assert graph.test_accuracy(rows, labels).first()["acc"] == pytest.approx(25.0)
+    assert graph.norms(spark.createDataFrame([([3.0],), ([4.0],)], "g array<double>"), "g").first()["norm"] == pytest.approx(5)
+
+
+def test_places_drawn_equal_members_drawn(spark):
+    pool = spark.range(40, 60).withColumnRenamed("id", "seq_id")
+    want = sampling.draw(list(range(40, 60)), 8)
+    assert [r["seq_id"] for r in sampling.draw_fold(pool, 4, 2, 1).collect()] == want[4:]

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from seqloom.functions.text import UNIVERSAL_TAGS
 from seqloom.sources import text_files as S
 
@@ -63,3 +67,63 @@ def test_stream_of_ngrams(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     ngram_counts.start(ngram_counts.counts(stream), "grams", str(tmp_path / "c"), once=True).awaitTermination(120)
     assert {tuple(r) for r in spark.table("grams").collect()} == {("<s0> a b", 2), ("a b </s0>", 2)}
+
+
+@pytest.fixture()
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "7"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path, small_splits):
+    text = [f"line {i}" + " x" * (i % 9) for i in range(300)]
+    text[17] = text[299] = ""
+    path = put(tmp_path, "a", "\r\n".join(text) + "\r\n")
+    rows = S.lines(spark, f"{path},{path}")
+    assert rows.rdd.getNumPartitions() > 10
+    got = {(r["fold"], r["line_no"]): r["line"] for r in rows.collect()}
+    assert got == {(f, i): x for f in (0, 1) for i, x in enumerate(text)}
+    (tmp_path / "latin").write_bytes("é\nü".encode("latin-1"))
+    assert [r["line"] for r in S.lines(spark, str(tmp_path / "latin"), "ISO-8859-1").orderBy("line_no").collect()] == ["é", "ü"]
+    (tmp_path / "wide").write_bytes("é\nü\n".encode("utf-16"))
+    assert [r["line"] for r in S.lines(spark, str(tmp_path / "wide"), "UTF-16").orderBy("line_no").collect()] == ["é", "ü"]
+    assert S.lines(spark, put(tmp_path, "none", "")).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 20])
+def test_sentences_across_splits_and_stretches(spark, tmp_path, small_splits, monkeypatch, stretch):
+    rng, lines, want, now = random.Random(stretch), [], [], []
+    for i in range(200):
+        if rng.random() < 0.3:
+            lines.append("")
+            want += [now] if now else []
+            now = []
+        else:
+            lines.append(f"{i}\tw{i}\t_\t_\tT{i % 3}")
+            now.append((f"w{i}", f"T{i % 3}"))
+    path = put(tmp_path, "a", "\n".join(lines))
+    monkeypatch.setattr(S.numbered, "__defaults__", (stretch,))
+    for legacy in (False, True):
+        got = {}
+        for r in S.read_conll(spark, path, legacy=legacy).orderBy("sent_id", "pos").collect():
+            got.setdefault(r["sent_id"], []).append((r["token"], r["tag"]))
+        whole = want if legacy or not now else [*want, now]
+        assert [got[i] for i in range(len(got))] == whole
+
+
+def test_letters_stop_at_a_long_sequence(spark, tmp_path):
+    words, lines, node = ["ab", "abc", "a", "abcd", "ab"], [], 1
+    for w, word in enumerate(words):
+        for i, ch in enumerate(word):
+            lines.append("\t".join(map(str, [node, ch, -1 if i + 1 == len(word) else node + 1, w + 1, i, 3, 1])))
+            node += 1
+    lines.append("\t".join(map(str, [node, "z", node + 1, 9, 0, 3, 1])))  # never ends
+    g = S.read_letters(spark, put(tmp_path, "l", "\n".join(lines)))
+    count = lambda most: S.letters_until(g, most).groupBy("seq_id").count().count()
+    assert [count(m) for m in (1, 3, 4, 99)] == [1, 2, 4, 5]
+    assert S.letters_until(g, 4).columns == g.columns
