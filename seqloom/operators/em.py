@@ -11,13 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 from . import crf, graph, lattice
-from .crf import Design
+from .crf import Design, Ragged
 
 
 @dataclass(frozen=True)
@@ -64,39 +64,60 @@ class Projection:
         self.q = settle(expected_distribution(sequences, self.state, self.frequency, design.states))
 
     def _round(self, rows: DataFrame, theta: np.ndarray, eta: float) -> DataFrame:
-        design, strength = self.design, self.o.graph_strength
+        design, strength, k = self.design, self.o.graph_strength, self.design.states
         sent = rows.sparkSession.sparkContext.broadcast((theta, self.theta_q))
 
-        def run(frames):
+        def scores(chunk: crf.Chunk, nu: Ragged, pull: Ragged | None) -> tuple[np.ndarray, np.ndarray]:
+            """The duals of the sequences after a step against the gradient."""
+            lo, hi = nu.cuts[chunk.rows], nu.cuts[chunk.rows + 1]
+            own, end = nu.values[crf._ranges(lo, hi - 1)].reshape(-1, k), nu.values[hi - 1]
+            force = np.zeros_like(own)
+            if pull is not None and len(pull.values):
+                a, b = pull.cuts[chunk.rows], pull.cuts[chunk.rows + 1]
+                lists = crf._ranges(a, b)
+                full = pull.inner.cuts[lists + 1] > pull.inner.cuts[lists]
+                per = b - a  # as many as tokens, or none
+                place = np.repeat(np.cumsum(chunk.size) - chunk.size, per) + np.arange(len(lists)) - np.repeat(np.cumsum(per) - per, per)
+                force[place[full]] = pull.values[crf._ranges(pull.inner.cuts[lists[full]], pull.inner.cuts[lists[full] + 1])].reshape(-1, k)
+            model = chunk.node[chunk.row, chunk.pos]
+            with np.errstate(invalid="ignore"):
+                node = own - eta * ((own - model) + 2 * strength * force)
+            node[~np.isfinite(model)] = -np.inf  # pruned states stay out
+            return chunk.padded(node), end - eta * (end - chunk.end)
+
+        def run(batches):
             model, own = sent.value
             edge_m, edge_q, emission = design.edges(model), design.edges(own), design.split(model)[-1]
-            for frame in frames:
-                out = []
-                for row in frame.itertuples(index=False):
-                    k, n = design.states, len(row.obs)
-                    node_m, end_m = design.nodes(emission, row.obs, getattr(row, "allowed", None))
-                    if row.nu is None:
-                        node, end = node_m, end_m
-                    else:
-                        nu = np.asarray(row.nu)
-                        node, end = nu[:-1].reshape(n, k), float(nu[-1])
-                        pull = np.zeros((n, k))
-                        for i, g in enumerate(row.pull if row.pull is not None else []):
-                            if g is not None:
-                                pull[i] = g
-                        with np.errstate(invalid="ignore"):
-                            node = node - eta * ((node - node_m) + 2 * strength * pull)
-                        node[~np.isfinite(node_m)] = -np.inf  # pruned states stay out
-                        end -= eta * (end - end_m)
-                    log_z, q, c = lattice.marginals(node, end, edge_q)
-                    finite = lambda x: np.where(np.isfinite(x), x, 0.0)
-                    log_p, _, _ = lattice.marginals(node_m, end_m, edge_m)
-                    cross = log_p - (q * finite(node_m)).sum() - end_m - (c * finite(edge_m)).sum()
-                    out.append((row.seq_id, np.append(node.ravel(), end), q.ravel(), c.ravel(), float(cross), lattice.entropy(log_z, q, c, node, end, edge_q)))
-                yield pd.DataFrame(out, columns=["seq_id", "nu", "q", "c", "cross", "entropy"])
+            finite = lambda x: np.where(np.isfinite(x), x, 0.0)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                known = batch.column("nu").null_count == 0
+                nu = Ragged.of(batch.column("nu")) if known else None
+                pull = Ragged.of(batch.column("pull")) if known else None
+                for chunk in design.chunks(batch, emission):
+                    node, end = scores(chunk, nu, pull) if known else (chunk.node, chunk.end)
+                    log_z, q, c = lattice.batch_marginals(node, chunk.size, end, edge_q)
+                    log_p, _, _ = lattice.batch_marginals(chunk.node, chunk.size, chunk.end, edge_m)
+                    n = len(chunk.size)
+                    cross = log_p - (q * finite(chunk.node)).sum((1, 2)) - chunk.end - (c * finite(edge_m)).reshape(n, -1).sum(1)
+                    h = lattice.batch_entropy(log_z, q, c, node, end, edge_q)
+                    cuts = np.concatenate([[0], np.cumsum(chunk.size * k)])
+                    duals = np.insert(node[chunk.row, chunk.pos].ravel(), cuts[1:], end)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("seq_id").take(pa.array(chunk.rows)),
+                            crf._lists(cuts + np.arange(n + 1), duals),
+                            crf._lists(cuts, q[chunk.row, chunk.pos].ravel()),
+                            crf._lists(np.arange(n + 1) * c[0].size, c.ravel()),
+                            pa.array(cross),
+                            pa.array(h),
+                        ],
+                        names=["seq_id", "nu", "q", "c", "cross", "entropy"],
+                    )
 
         kept = [x for x in ("allowed",) if x in rows.columns]
-        return rows.select("seq_id", "obs", "nu", "pull", *kept).mapInPandas(run, "seq_id long, nu array<double>, q array<double>, c array<double>, cross double, entropy double")
+        return rows.select("seq_id", "obs", "nu", "pull", *kept).mapInArrow(run, "seq_id long, nu array<double>, q array<double>, c array<double>, cross double, entropy double")
 
     def violation(self) -> float:
         return float(graph.violation(self.edges, self.q, self.frequency).first()[0] or 0.0)
@@ -115,8 +136,8 @@ class Projection:
             pull = per_token.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "grad"))), lambda x: x["grad"]).alias("pull"))
             rows = unlabelled.join(self.state.select("seq_id", "nu"), "seq_id").join(pull, "seq_id", "left")
             self.theta_q = (1 - eta) * self.theta_q + eta * theta
-            self.state = settle(self._round(rows, theta, eta))
-            self.q = settle(expected_distribution(self.sequences, self.state, self.frequency, self.design.states))
+            self.state = settle(self._round(rows, theta, eta), instead_of=self.state)
+            self.q = settle(expected_distribution(self.sequences, self.state, self.frequency, self.design.states), instead_of=self.q)
             s = self.state.agg(F.sum("cross").alias("c"), F.sum("entropy").alias("h")).first()
             cross, h, g = s["c"] or 0.0, s["h"] or 0.0, self.violation()
             objective = cross - h + o.graph_strength / 2 * g
@@ -132,23 +153,40 @@ class Projection:
         """Expected feature counts of the unlabelled sequences under the projected posterior."""
         design = self.design
 
-        def body(row, into):
-            q = np.asarray(row.q).reshape(len(row.obs), design.states)
-            into += design.counts(row.obs, q, np.asarray(row.c).reshape((design.all_states,) * (design.order + 1)))
+        def body(batch, transitions, emission):
+            q, c = Ragged.of(batch.column("q")), Ragged.of(batch.column("c"))
+            transitions += c.values.reshape(batch.num_rows, *transitions.shape).sum(0)
+            for chunk in design.chunks(batch):
+                own = q.values[crf._ranges(q.cuts[chunk.rows], q.cuts[chunk.rows + 1])].reshape(-1, design.states)
+                some, counts = chunk.emissions(design, chunk.padded(own), np.ones(len(chunk.size)))
+                emission[:, some] += counts
             return 0.0
 
-        rows = self.sequences.where("not is_labeled").join(self.state.select("seq_id", "q", "c"), "seq_id")
-        return crf._partials(rows, body, design.size)[1]
+        rows = self.sequences.where("not is_labeled").select("seq_id", "obs").join(self.state.select("seq_id", "q", "c"), "seq_id")
+        most = max(crf.partitions_of(self.sequences), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return crf._partials(rows.select("obs", "q", "c"), body, design, most)[1]
 
     def diagnostics(self) -> dict[str, float]:
-        """Average entropy in bits, and least, average and largest confidence, over unlabelled tokens."""
-        from ..functions.text import entropy_bits
+        """Over unlabelled tokens: see :func:`token_diagnostics`; and the ranges of node and edge scores."""
+        k, edge = self.design.states, self.design.edges(self.theta_q)
+        rows = self.state.join(self.sequences.select("seq_id", "tags"), "seq_id")
+        cut = F.transform("tags", lambda t, i: F.struct(F.slice("q", i * k + 1, k).alias("p"), t.alias("tag")))
+        out = token_diagnostics(rows.select(F.explode(cut).alias("t")).select("t.*")).first().asDict()
+        own = F.filter(F.slice("nu", F.lit(1), F.size("nu") - 1), lambda x: F.abs(x) < float("inf"))
+        out |= self.state.agg(F.min(F.array_min(own)).alias("node_least"), F.max(F.array_max(own)).alias("node_most")).first().asDict()
+        met = edge[:k, : k + 1] if self.design.order == 1 else np.concatenate([edge[:k, :k, : k + 1].ravel(), edge[:k, k, k + 1]])
+        return out | {"edge_least": float(met.min()), "edge_most": float(met.max())}
 
-        k = self.design.states
-        cut = F.transform(F.sequence(F.lit(0), (F.size("q") / k).cast("int") - 1), lambda i: F.slice("q", i * k + 1, k))
-        tokens = self.state.select(F.explode(cut).alias("p"))
-        top = F.array_max("p")
-        return tokens.agg(F.avg(entropy_bits(F.col("p"))).alias("entropy_bits"), F.min(top).alias("least"), F.avg(top).alias("average"), F.max(top).alias("most")).first().asDict()
+
+def token_diagnostics(tokens: DataFrame) -> DataFrame:
+    """One row over ``tokens(p array, tag)``: tokens and correct ones; averages of the entropy in bits and of the
+    root of squared deviations from the mean; least, average and largest confidence."""
+    from ..functions.text import argmax, entropy_bits
+
+    p, top = F.col("p"), F.array_max("p")
+    mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / F.size("p")
+    spread = F.sqrt(F.aggregate(F.transform("p", lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x))
+    return tokens.agg(F.count("*").alias("n"), F.sum((argmax(p) == F.col("tag")).cast("long")).alias("correct"), F.avg(entropy_bits(p)).alias("entropy_bits"), F.avg(spread).alias("deviation"), F.min(top).alias("least"), F.avg(top).alias("average"), F.max(top).alias("most"))
 
 
 def _accuracies(sequences: DataFrame, design: Design, theta: np.ndarray) -> tuple[float, float]:
@@ -173,7 +211,7 @@ def fit(sequences: DataFrame, edges: DataFrame, design: Design, options: Options
         objective = crf.Objective(sequences, design, o.prior, o.label_strength, empirical, soft)
         theta, history = crf.lbfgs(objective, theta, o.m_iterations, tol=o.m_stop)
         if soft is not None:
-            soft_loss = crf.log_partition(sequences.where("not is_labeled"), design, theta)[0] - float(theta @ soft)
+            soft_loss = crf.log_partition(sequences, design, theta, labelled=0.0)[0] - float(theta @ soft)
         value = history[-1][0] + o.graph_strength / 2 * graph_term - h
         log.append((it, float(value), *_accuracies(sequences, design, theta)))
         if it > 2 and abs(before - value) / before < o.em_stop:

@@ -116,3 +116,82 @@ def test_em_and_projection(spark, rows):
     assert all(abs(sum(r["p"]) - 1) < 1e-6 for r in p.q.collect())
     assert p.soft_counts().shape == (design.size,) and 0 < p.diagnostics()["average"] <= 1
     assert em.bootstrap(rows, edges, design, em.Options(m_iterations=3), propagation=2)[1][-1][2] > 0.5
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_batches_equal_single_sequences(order):
+    rng = np.random.default_rng(7)
+    k, size = 3, np.array([5, 1, 2, 5, 3])
+    node, end, edge = rng.normal(size=(5, 5, k)), rng.normal(size=5), random_edge(rng, k, order)
+    node[0, 2, [0, 2]] = -np.inf
+    node[1, 1:] = 99.0  # behind the end
+    log_z, p, counts = lattice.batch_marginals(node, size, end, edge)
+    h = lattice.batch_entropy(log_z, p, counts, node, end, edge)
+    for i, n in enumerate(size):
+        z, q, c = lattice.marginals(node[i, :n], float(end[i]), edge)
+        assert log_z[i] == pytest.approx(z) and np.allclose(p[i, :n], q) and not p[i, n:].any() and np.allclose(counts[i], c)
+        assert h[i] == pytest.approx(lattice.entropy(z, q, c, node[i, :n], float(end[i]), edge))
+
+
+def test_backoff_shifts_the_partition_only(rows):
+    a, b = crf.Design(3, 4, 2), crf.Design(3, 4, 2, backoff=0.25)
+    theta = np.random.default_rng(1).normal(size=a.size) * 0.2
+    x, y = ({r["seq_id"]: r for r in crf.infer(rows, d, theta).collect()} for d in (a, b))
+    for r in rows.collect():
+        n = len(r["tags"])
+        assert y[r["seq_id"]]["logz"] == pytest.approx(x[r["seq_id"]]["logz"] + 0.25 * 2 * (n + 1))
+        assert np.allclose(y[r["seq_id"]]["p"], x[r["seq_id"]]["p"])
+
+
+def test_uniform_and_smoothed_scores():
+    node, end, edge = lattice.uniform_scores(4, 3, 1, 1.0)
+    assert lattice.first_order(node, end, edge)[0] == pytest.approx(4 * math.log(3))
+    assert not np.isfinite(lattice.uniform_scores(1, 2, 1, 0.0)[0]).any()
+    assert np.allclose(np.exp(lattice.smoothed(np.array([0.0, -np.inf]), 0.5)), [1.5, 0.5])
+
+
+def test_partial_sums_in_a_tree(spark, rows):
+    design = crf.Design(3, 4, 1)
+    theta = np.random.default_rng(2).normal(size=design.size) * 0.1
+    whole = crf.log_partition(rows, design, theta)
+    many = settle(rows.repartition(40))
+    assert crf.partitions_of(many) == 40
+    parts = crf.log_partition(many, design, theta)
+    assert parts[0] == pytest.approx(whole[0]) and np.allclose(parts[1], whole[1])
+    labelled = crf.log_partition(rows, design, theta, 1.0, 0.0)
+    other = crf.log_partition(rows, design, theta, labelled=0.0)
+    assert labelled[0] + other[0] == pytest.approx(whole[0]) and np.allclose(labelled[1] + other[1], whole[1])
+
+
+def test_settled_frames_can_be_released(spark):
+    import os
+
+    from seqloom.session import Timers, kept_in, release
+
+    a = settle(spark.range(10))
+    b = settle(a.where("id > 3"), instead_of=a)
+    path = kept_in(b).removeprefix("file:")
+    assert os.path.isdir(path) and b.count() == 6
+    release(b)
+    assert not os.path.isdir(path) and kept_in(spark.range(3)) is None
+    ticks = iter([0.0, 2.0, 5.0, 9.0])
+    t = Timers(lambda: next(ticks))
+    assert [t.stamp("a"), t.stamp("b"), t.stamp("a"), t.stamp("b")] == [0.0, 0.0, 5.0, 7.0]
+    assert t.intervals("a", "b") == [2.0, 4.0] and t.report("a", "b") == {"n": 2, "seconds": 6.0, "minutes": 0.1}
+    t.clear("a")
+    assert t.intervals("a", "b") == []
+
+
+def test_diagnostics_of_the_projection(spark, rows):
+    edges = spark.createDataFrame([(0, 1, 0.2), (1, 0, 0.2)], "src long, dst long, weight double")
+    design = crf.Design(3, 4, 2)
+    p = em.Projection(rows, edges, design, np.random.default_rng(3).normal(size=design.size) * 0.1, em.Options(e_iterations=1))
+    d = p.diagnostics()
+    other = rows.where("not is_labeled").collect()
+    q = {r["seq_id"]: np.array(r["q"]).reshape(-1, 3) for r in p.state.collect()}
+    best = np.concatenate([q[r["seq_id"]].argmax(1) for r in other])
+    assert d["n"] == len(best) and d["correct"] == int((best == np.concatenate([r["tags"] for r in other])).sum())
+    every = np.concatenate([q[r["seq_id"]] for r in other])
+    assert d["deviation"] == pytest.approx(np.sqrt(((every - 1 / 3) ** 2).sum(1)).mean())
+    assert d["least"] == pytest.approx(every.max(1).min()) and d["node_least"] < d["node_most"] and d["edge_least"] < d["edge_most"]
+    assert em.token_diagnostics(spark.createDataFrame([([0.5, 0.5], 0)], "p array<double>, tag int")).first()["entropy_bits"] == pytest.approx(1)
