@@ -30,7 +30,11 @@ class Config:
     folds: int = 10
     fold: int = 0
     seed: int = 12345
+    seed_folder: int = 0
     scale_features: bool = False
+    backoff: float = 1e-8
+    prune: bool = True
+    max_letters: int = 0
     # training
     label_strength: float = 1.0
     graph_strength: float = 1.0

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 EVENT_TAGS = ["click", "error", "purchase", "signup", "view"]
 DIGITS = 10  # labels of the embeddings
 
@@ -13,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the driver's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def drop():
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(drop)
+    return path
+
+
 def documents_as_sequences(spark: SparkSession, sf_dir: str, punctuation: bool = True) -> DataFrame:
     """(seq_id, tokens) of whole texts; with ``punctuation`` marks are tokens of their own."""
     text = F.regexp_replace("text", "([.,!?:;]+)", " $1 ") if punctuation else F.col("text")
@@ -61,9 +81,9 @@ VECSEQ = """vecseq as (select vec_id node, cast(vec_id // 8 as bigint) seq_id, c
   case when (vec_id // 8) % 10 = 9 then 1 else 0 end fold from embeddings)"""
 #: top-k cosine, ranks on rounded similarities
 TOPK = """v as (select vec_id node, label, embedding::double[] e, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings),
-sims as (select a.node src, b.node dst, round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) sim from v a, v b where a.node <> b.node and a.n > 0 and b.n > 0),
+sims as materialized (select a.node src, b.node dst, round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) sim from v a, v b where a.node <> b.node and a.n > 0 and b.n > 0),
 ranked as (select src, dst, sim, row_number() over (partition by src order by sim desc, dst) rank from sims where sim > 0),
-topk as (select * from ranked where rank <= 10)"""
+topk as materialized (select * from ranked where rank <= 10)"""
 VGRAPH = TOPK + ", edges as (select t.src, t.dst, t.sim weight from topk t semi join topk b on t.src = b.dst and t.dst = b.src)"
 #: seeds are every fifth node; the rest is uniform
 SEEDS = """states as (select unnest(range(10))::int state),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import argmax
 from ..operators import graph, sampling
 from ..session import settle
-from .fixtures import DIGITS, EVSEQ, SEEDS, TOPK, VECSEQ, VGRAPH, event_tokens, glyphs, table
+from .fixtures import DIGITS, EVSEQ, SEEDS, TOPK, VECSEQ, VGRAPH, event_tokens, glyph_rows, glyphs, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -89,6 +89,14 @@ def graph_gradient(spark, sf):
     return g.select("node", F.posexplode("grad").alias("state", "g")).select("node", "state", r6("g", "grad"))
 
 
+@query(f"""with {VGRAPH}, {SEEDS}, g as (select src, a.state, sum(weight * (a.p - b.p)) g from edges join q0 a on a.node = src join q0 b on b.node = dst and a.state = b.state group by src, a.state)
+select round(sum(g * g), 6) + 0.0 squared, round(sqrt(sum(g * g)), 6) + 0.0 norm from g""")
+def gradient_norm(spark, sf):
+    once = labels(spark, sf).select("node", F.lit(1).alias("freq"))
+    g = graph.gradient(graph.mutual(top_edges(spark, sf)), seeds(spark, sf), once, DIGITS)
+    return graph.norms(g, "grad").select(r6("squared", "squared"), r6("norm", "norm"))
+
+
 def _step_sql(before: str, after: str, eta: str) -> str:
     return f"""m{after} as (select a.node, a.state, a.fixed, a.p - {eta} * coalesce(sum(weight * (a.p - b.p)), 0) r, a.p from {before} a left join edges on src = a.node
   left join {before} b on b.node = dst and b.state = a.state group by a.node, a.state, a.fixed, a.p),
@@ -118,6 +126,29 @@ def label_prop_acc(spark, sf):
     return found.agg(F.count("*").alias("n_test"), F.sum(hit).alias("n_correct"), r6(100.0 * F.sum(hit) / F.count("*"), "acc"))
 
 
+#: glyphs as tokens: those of every seventh vector are off the graph, and tag 9 is punctuation
+_TOKENS = f"""toks as (select tag, case when node % 7 = 0 then null else node end node, seq_id % 5 < 3 lab from vecseq)"""
+
+
+def _covered(spark, sf):
+    off = F.transform("nodes", lambda n: F.when(n % 7 != 0, n))
+    return glyph_rows(spark, sf).select("seq_id", "tags", off.alias("nodes"), "is_labeled")
+
+
+@query(f"""with {VECSEQ}, {_TOKENS} select count(*) tokens, count(*) filter (where lab and node is not null) train_covered, count(*) filter (where not lab and node is not null) test_covered,
+  count(*) filter (where not lab and node is null and tag = 9) test_punct, count(*) filter (where not lab) test_all from toks""")
+def coverage_counts(spark, sf):
+    return graph.coverage(_covered(spark, sf), 9)
+
+
+@query(f"""with {_PROP2}, {VECSEQ}, {_TOKENS}, best as (select node, arg_max(state, (round(p, 9), -state)) label from q2 group by node)
+select round(100.0 * count(*) filter (where case when t.node is null then tag = 9 else label = tag end) / count(*), 6) + 0.0 acc from toks t left join best using (node) where not lab""")
+def propagation_token_accuracy(spark, sf):
+    q = _two_steps(spark, sf)[1]
+    found = q.select("node", argmax(F.transform("p", lambda x: F.round(x, 9))).alias("label"))
+    return graph.test_accuracy(_covered(spark, sf), found, 9).select(r6("acc", "acc"))
+
+
 @query()
 def label_prop_converged(spark, sf):
     """(iterations, non_smoothness, acc); stops at a relative change of 1e-3."""
@@ -136,6 +167,19 @@ def _order():
     return (F.col("seq_id") * 7919) % 10007, F.col("seq_id")
 
 
+@query(f"""with recursive {EVSEQ}, s as (select seq_id, row_number() over (order by seq_id) - 1 place from (select distinct seq_id from evseq)), n as (select count(*) n from s),
+g(i, x) as (select 0, xor(12345::bigint, 25214903917::bigint)::hugeint union all select i + 1, (x * 25214903917::hugeint + 11) % 281474976710656::hugeint from g where i < 400),
+v as (select i, ((x // 131072) % n)::bigint place from g, n where i > 0), d as (select place, row_number() over (order by min(i)) - 1 turn from v group by place)
+select seq_id, turn >= 4 is_labeled from d join s using (place) where turn < 8""")
+def seeded_draw(spark, sf):
+    """Eight places of the sequences by the generator's order; the second four are labelled."""
+    from ..operators import tokens
+
+    s = tokens.dense_ids(event_tokens(spark, sf).select("seq_id").distinct(), "seq_id", name="place")
+    turns = [sampling.draw_fold(s.select("place"), 4, 2, fold, key="place").withColumn("is_labeled", F.lit(fold == 1)) for fold in (0, 1)]
+    return turns[0].unionByName(turns[1]).join(s, "place").select("seq_id", "is_labeled")
+
+
 @query(f"""with {EVSEQ}, s as (select distinct seq_id from evseq), d as (select seq_id, row_number() over (order by {_ORDER}) - 1 r from s),
 f as (select seq_id, case when r // 10 = 1 and r < 50 then 'train' else 'test' end split from d) select split, count(*) n, sum(seq_id)::bigint sum_id from f group by split""")
 def fold_split(spark, sf):

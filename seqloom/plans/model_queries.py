@@ -73,22 +73,21 @@ def _lse(terms: list[str]) -> str:
     return f"list_reduce([{', '.join(terms)}], lambda x, y: greatest(x, y) + ln(1 + exp(-abs(x - y))))"
 
 
-def _chain_sql() -> str:
-    """Forward and backward lists of the five states, a row per sequence and position."""
-    e = fixed_edges()
+def _chain_sql(e: np.ndarray, lists: str) -> str:
+    """Forward and backward lists of the five states, a row per sequence and position; ``lists`` and ``final`` have the node scores."""
     num = lambda x: f"({x!r}::double)"
     start = "[" + ", ".join(f"n[{s + 1}] + {num(float(e[s, K]))}" for s in range(K)) + "]"
     step = "[" + ", ".join(_lse([f"a[{p + 1}] + {num(float(e[s, p]))}" for p in range(K)]) + f" + l.n[{s + 1}]" for s in range(K)) + "]"
     end = "[" + ", ".join(f"f.score + {num(float(e[K + 2, p]))}" for p in range(K)) + "]"
     back = "[" + ", ".join(_lse([f"b[{s + 1}] + l.n[{s + 1}] + {num(float(e[s, p]))}" for s in range(K)]) for p in range(K)) + "]"
-    return f"""lists as materialized (select seq_id, pos, list(score::double order by i) n from scores group by all),
+    return f"""lists as materialized ({lists}),
 fwd as (select seq_id, pos, {start} a from lists where pos = 0 union all select l.seq_id, l.pos, {step} from fwd join lists l on l.seq_id = fwd.seq_id and l.pos = fwd.pos + 1),
 bwd as (select f.seq_id, f.pos - 1 pos, {end} b from final f union all select l.seq_id, l.pos - 1, {back} from bwd join lists l on l.seq_id = bwd.seq_id and l.pos = bwd.pos where l.pos > 0),
 z as (select f.seq_id, {_lse([f'a[{k + 1}] + b[{k + 1}]' for k in range(K)])} logz from fwd f join bwd using (seq_id, pos) where f.pos = 0),
 marg as (select seq_id, pos, k, exp(a[k] + b[k] - logz) p from fwd join bwd using (seq_id, pos) join z using (seq_id), (select unnest(range(1, {K + 1})) k))"""
 
 
-_CHAIN = f"with recursive {EVSEQ}, {_SCORES}, {_chain_sql()}"
+_CHAIN = f"with recursive {EVSEQ}, {_SCORES}, {_chain_sql(fixed_edges(), 'select seq_id, pos, list(score::double order by i) n from scores group by all')}"
 
 
 def _inference(spark, sf):
@@ -136,6 +135,18 @@ def state_entropy(spark, sf):
     return _positions(spark, sf).select("seq_id", entropy_bits(F.col("p")).alias("h")).groupBy("seq_id").agg(r6(F.avg("h"), "avg_entropy_bits"))
 
 
+@query(f"""{_CHAIN}, per as (select seq_id, pos, arg_max(k, (round(p, 9), -k)) - 1 pred, list(round(p, 9) order by k) p from marg group by seq_id, pos),
+d as (select list_position([{_TAGS}], tag) - 1 = pred hit, -list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * log2(x))) h,
+  sqrt(list_sum(list_transform(p, lambda x: (x - list_sum(p) / len(p)) ** 2))) s, list_max(p) m from per join evseq using (seq_id, pos))
+select count(*) n, count(*) filter (where hit) correct, round(avg(h), 6) + 0.0 entropy_bits, round(avg(s), 6) + 0.0 deviation, round(min(m), 6) + 0.0 least, round(avg(m), 6) + 0.0 average, round(max(m), 6) + 0.0 most from d""")
+def decode_diagnostics(spark, sf):
+    number = (F.array_position(F.array(*map(F.lit, EVENT_TAGS)), F.col("tag")) - 1).cast("int")
+    gold = event_tokens(spark, sf).select("seq_id", "pos", number.alias("tag"))
+    p = _positions(spark, sf).select("seq_id", "pos", F.transform("p", lambda x: F.round(x, 9)).alias("p"))
+    found = em.token_diagnostics(p.join(gold, ["seq_id", "pos"]))
+    return found.select("n", "correct", *[r6(c, c) for c in ("entropy_bits", "deviation", "least", "average", "most")])
+
+
 _PREVIOUS = f"{EVSEQ}, guess as (select seq_id, pos, tag, coalesce(lag(tag) over (partition by seq_id order by pos), 'click') pred from evseq), per as (select seq_id, avg((tag = pred)::int) acc from guess group by 1)"
 
 
@@ -180,6 +191,75 @@ def _theta(design: crf.Design) -> np.ndarray:
     return ((np.arange(design.size) * 37) % 7 - 3) / 10
 
 
+def _emission_sql(design: crf.Design, offset: int, obs: str, state: int) -> str:
+    at = design.size - 3 * design.observations * (K + 1)
+    return f"((({at} + ({offset * design.observations} + {obs}) * {K + 1} + {state}) * 37) % 7 - 3) / 10.0"
+
+
+def _observed_sql(design: crf.Design) -> str:
+    """ob (seq_id, pos, t, o, n list of node scores, e score of the end) of the parameters that :func:`_theta` has."""
+    n = ", ".join(f"{_emission_sql(design, 1, 'o', s)} + coalesce({_emission_sql(design, 0, 'po', s)}, 0) + coalesce({_emission_sql(design, 2, 'no', s)}, 0)" for s in range(K))
+    return f"""raw as (select seq_id, pos, list_position([{_TAGS}], tag) - 1 t, substr(token, 2)::int o, max(pos) over (partition by seq_id) top from evseq),
+near as (select *, lag(o) over w po, lead(o) over w no, lag(t) over w pt from raw window w as (partition by seq_id order by pos)),
+ob as materialized (select seq_id, pos, top, t, pt, o, [{n}]::double[] n, {_emission_sql(design, 0, 'o', K)} e from near),
+final as (select seq_id, pos + 1 pos, e::double score from ob where pos = top)"""
+
+
+def _second_order_sql() -> str:
+    design = event_design(2)
+    e, s0, s00, sn = design.edges(_theta(design)), K, K + 1, K + 2
+    num, pairs = lambda x: f"({float(x)!r}::double)", [(s, sp) for s in range(K) for sp in range(K)]
+    begin = "[" + ", ".join(f"f.n[{sp + 1}] + {num(e[sp, s0, s00])} + {num(e[s, sp, s0])} + l.n[{s + 1}]" for s, sp in pairs) + "]"
+    step = "[" + ", ".join(_lse([f"a[{sp * K + spp + 1}] + {num(e[s, sp, spp])}" for spp in range(K)]) + f" + l.n[{s + 1}]" for s, sp in pairs) + "]"
+    return f"""with recursive {EVSEQ}, {_observed_sql(design)},
+fwd as (select l.seq_id, l.pos, {begin} a from ob f join ob l using (seq_id) where f.pos = 0 and l.pos = 1
+  union all select l.seq_id, l.pos, {step} from fwd join ob l on l.seq_id = fwd.seq_id and l.pos = fwd.pos + 1)
+select f.seq_id, round({_lse([f"a[{i + 1}] + {num(e[sn, s, sp])}" for i, (s, sp) in enumerate(pairs)])} + score, 6) + 0.0 logz from fwd join final f on f.seq_id = fwd.seq_id and f.pos = fwd.pos + 1
+union all select f.seq_id, round({_lse([f"n[{s + 1}] + {num(e[s, s0, s00] + e[sn, s, s0])}" for s in range(K)])} + score, 6) + 0.0 from ob join final f using (seq_id) where top = 0"""
+
+
+def _objective_sql() -> str:
+    design = event_design(1)
+    theta = _theta(design)
+    e = design.edges(theta)
+    flat = "[" + ", ".join(f"{x!r}" for x in e.ravel().tolist()) + "]::double[]"
+    return f"""with recursive {EVSEQ}, {_observed_sql(design)}, {_chain_sql(e, "select seq_id, pos, n from ob")}, tr as (select {flat} x),
+gold as (select seq_id, sum(n[t + 1] + x[t * {K + 3} + coalesce(pt, {K}) + 1] + case when pos = top then x[{(K + 2) * (K + 3)} + t + 1] + e else 0 end) g from ob, tr group by seq_id)
+select count(*) n, round(sum(logz - g) + {float(theta @ theta) / 2e4!r}, 4) + 0.0 value from z join gold using (seq_id) where seq_id % 3 < 2"""
+
+
+def _expected_sql() -> str:
+    design = event_design(1)
+    e = design.edges(_theta(design))
+    return f"""with recursive {EVSEQ}, {_observed_sql(design)}, {_chain_sql(e, "select seq_id, pos, n from ob")}
+select o::bigint node, (k - 1)::int state, round(sum(case when seq_id % 3 < 2 then (t = k - 1)::int else p end) / count(*), 6) + 0.0 p from marg join ob using (seq_id, pos) group by o, k"""
+
+
+@query(_second_order_sql())
+def so_forward_logz(spark, sf):
+    design = event_design(2)
+    return crf.infer(chain_rows(spark, sf), design, _theta(design)).select("seq_id", r6("logz", "logz"))
+
+
+@query(_objective_sql())
+def crf_objective(spark, sf):
+    """The objective of the labelled sequences at fixed parameters."""
+    from ..session import settle
+
+    design, rows = event_design(1), settle(chain_rows(spark, sf))
+    value, _ = crf.Objective(rows, design)(_theta(design))
+    return rows.where("is_labeled").agg(F.count("*").alias("n"), (F.round(F.lit(value), 4) + 0.0).alias("value"))
+
+
+@query(_expected_sql())
+def expected_node_distribution(spark, sf):
+    """Labelled tokens with their tag and others with their posterior, by node."""
+    design, rows = event_design(1), chain_rows(spark, sf)
+    found = crf.infer(rows, design, _theta(design)).select("seq_id", F.col("p").alias("q"))
+    p = em.expected_distribution(rows, found, em.node_frequency(rows), K)
+    return p.select("node", F.posexplode("p").alias("state", "p")).select("node", "state", r6("p", "p"))
+
+
 @query()
 def so_marginals(spark, sf):
     """(seq_id, logz, entropy) of a second-order chain at fixed parameters."""

@@ -99,6 +99,24 @@ def vocab_counts(spark, sf):
     return tokens.dense_ids(tokens.vocabulary(document_tokens(spark, sf)), "first_seq", "first_pos").select("id", "token", "n", "first_seq", "first_pos")
 
 
+@query(f"""with {EVSEQ}, k as (select token, row_number() over (order by token) - 1 id from (select distinct token from evseq)),
+i as (select unnest(range(-1, 9)) id), w as (select unnest(['b0', 'b3', 'zz', 'b5']) as token)
+select 'name' kind, i.id, coalesce(k.token, '<unk>') as token from i left join k using (id) union all select 'id', coalesce(k.id, -1), w.token from w left join k using (token)""")
+def dictionary_lookup(spark, sf):
+    """Names of ids and ids of names, with the defaults of what the dictionary lacks."""
+    kinds = tokens.dense_ids(event_tokens(spark, sf).select("token").distinct(), "token")
+    names = tokens.names_of(spark.range(-1, 9), kinds).select(F.lit("name").alias("kind"), "id", "token")
+    asked = spark.createDataFrame([("b0",), ("b3",), ("zz",), ("b5",)], "token string")
+    return names.unionByName(tokens.ids_of(asked, kinds).select(F.lit("id").alias("kind"), "id", "token"))
+
+
+@query("""with v as (select vec_id node, embedding::double[] e from embeddings)
+select node, round(greatest(e[1], e[2]) + ln(1 + exp(-abs(e[1] - e[2]))), 6) + 0.0 pair, round(list_max(e) + ln(list_sum(list_transform(e, lambda x: exp(x - list_max(e))))), 6) + 0.0 whole from v""")
+def logsum_columns(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return v.select("node", (F.round(T.logsum(F.col("e")[0], F.col("e")[1]), 6) + 0.0).alias("pair"), (F.round(T.logsum_all(F.col("e")), 6) + 0.0).alias("whole"))
+
+
 _LINES = ["a\tb\tc", "  a\tb ", "a\t\t", "\ta", "", "x", "\x01 a\tb\t\t\r", "a b\tc d"]
 
 
@@ -217,7 +235,7 @@ def sparse_cosine_knn(spark, sf):
     from ..operators import graph
     from ..session import settle
 
-    vectors = tokens.pmi_vectors(tokens.context_features(_event_rows(spark, sf), SUFFIXES))
+    vectors = settle(tokens.pmi_vectors(tokens.context_features(_event_rows(spark, sf), SUFFIXES)))
     # ids in the order of the n-grams, so that ties rank as the n-grams do
     names = settle(tokens.dense_ids(vectors.select("ngram").distinct(), "ngram", name="node"))
     nodes = graph.sparse_nodes(vectors).drop("node").join(names, "ngram").select("node", "feature", "value")

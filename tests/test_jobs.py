@@ -38,3 +38,26 @@ def test_letters(spark, tmp_path):
     (tmp_path / "g").write_text("1\t2\t0.5\n2\t1\t0.5\n")
     _, metrics = jobs.train_letters(spark, Config(data_path=str(tmp_path / "l"), graph_path=str(tmp_path / "g"), labels=8, folds=1, order=2, m_iterations=6))
     assert metrics.first()["test_acc"] > 0.7
+
+
+def test_tagger_rows_prune_draw_and_take_an_extractor(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import sampling
+
+    lines = []
+    for i in range(12):
+        lines += [f"1\tword{i}\t_\tN\tNOUN", "2\t.\t_\tP\t.", ""]
+    (tmp_path / "c").write_text("\n".join(lines))
+    c = Config(data_path=str(tmp_path / "c"), labels=3, folds=2, fold=1)
+    corpus = jobs.read_corpus(spark, c)
+    rows, tags, n = jobs.tagger_rows(spark, c, corpus)
+    got = {r["seq_id"]: r for r in rows.collect()}
+    assert tags == [".", "NOUN"] and len(got) == 12
+    assert all(r["allowed"] == [None, [0]] and r["tags"] == [1, 0] for r in got.values())
+    assert {i for i, r in got.items() if r["is_labeled"]} == set(sampling.draw(list(range(12)), 6)[3:])
+    free, _, _ = jobs.tagger_rows(spark, Config(data_path=c.data_path, labels=3, folds=2, prune=False), corpus)
+    assert free.where(F.exists("allowed", lambda x: x.isNotNull())).count() == 0
+    first = lambda kinds: kinds.select("token", F.left("token", F.lit(1)).alias("name"))
+    own, _, n = jobs.tagger_rows(spark, c, corpus, first)
+    assert n == 2 and {tuple(map(tuple, r["obs"])) for r in own.collect()} == {((1,), (0,))}
