@@ -83,7 +83,7 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, s
         if r > width or (len(probes) * m > n_codes and r > 0):
             done.append(scratch.table(scan(index, open_.select("code"), k), "scanned"))
             break
-        masks = F.array(*[F.lit(p).cast("long") for p in probes])
+        masks = F.split(F.lit(",".join(map(str, probes))), ",").cast("array<long>")  # one literal, however many
         look = parted(open_, "bound", "bound_id").withColumnRenamed("code", "query").withColumn("value", F.explode(F.transform(masks, lambda x: F.col("value").bitwiseXOR(x))))
         d = F.bit_count(look["query"].bitwiseXOR(table["code"]))
         better = (d < look["bound"]) | ((d == look["bound"]) & (table["ids"][0] < look["bound_id"]))
@@ -111,15 +111,15 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, s
 
 
 def scan(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query, best): the queries against all codes, in blocks of queries that the driver never holds together."""
-    spark, out = index.sparkSession, None
-    n = queries.count()
-    parts = max(1, -(-n // block))
+    """(query, best): the queries against all codes, in blocks of queries that the driver never holds together.
+
+    A block is one job, whose result is written; the plan does not grow with the blocks.
+    """
+    spark, scratch = index.sparkSession, Scratch(index.sparkSession, "scan")
+    parts = max(1, -(-queries.count() // block))
     dealt = queries.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)))
     for part in range(parts):
         mine = np.array([row["code"] for row in dealt.where(F.col("part") == part).select("code").collect()], np.int64)
-        if not len(mine):
-            continue
         shared = spark.sparkContext.broadcast(mine)
 
         def run(batches, shared=shared):
@@ -130,17 +130,18 @@ def scan(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Dat
                 take = min(k, len(code))
                 if not take:
                     continue
+                least = np.array([i[0] for i in ids], np.int64)
                 for lo in range(0, len(asked), 256):
                     d = np.bitwise_count(asked[lo : lo + 256, None] ^ code[None])
-                    least = np.array([i[0] for i in ids], np.int64)
                     for q, row in zip(asked[lo : lo + 256].view(np.int64).tolist(), d):
                         near = np.lexsort((least, row))[:take]
                         pairs = [(q, int(row[j]), i) for j in near.tolist() for i in ids[j]]
                         yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in range(3)], names=["query", "d", "id"])
 
-        found = index.mapInArrow(run, "query long, d long, id long").withColumn("d", F.col("d").cast("int"))
-        out = _best(found, k) if out is None else out.unionByName(_best(found, k))
-    return out
+        found = _best(index.mapInArrow(run, "query long, d long, id long").withColumn("d", F.col("d").cast("int")), k)
+        scratch.table(found, f"part={part}")
+        shared.unpersist()
+    return spark.read.schema(found.schema).parquet(f"{scratch.root}/*")
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, bits: int = 64) -> DataFrame:
