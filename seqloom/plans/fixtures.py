@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import dealt, shared_folder
 
 EVENT_TAGS = ["click", "error", "purchase", "signup", "view"]
 DIGITS = 10  # labels of the embeddings
@@ -36,7 +36,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def documents_as_sequences(spark: SparkSession, sf_dir: str, punctuation: bool = True) -> DataFrame:
     """(seq_id, tokens) of whole texts; with ``punctuation`` marks are tokens of their own."""
     text = F.regexp_replace("text", "([.,!?:;]+)", " $1 ") if punctuation else F.col("text")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda x: x != "").alias("tokens"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("seq_id"), F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda x: x != "").alias("tokens"))
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

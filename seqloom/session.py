@@ -25,6 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: a table of more bytes is read as its files are cut, and so is a part of fewer
+DEALT_BYTES, DEALT_PART = 64 << 20, 256 << 10
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A small table of fewer files than the session has cores, dealt to the cores before work that its rows blow up.
+
+    A row group is one task's, and small files have one.  A table beyond ``DEALT_BYTES`` is left as it is:
+    it has row groups enough, and is not worth a shuffle.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > DEALT_BYTES:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    parts = min(cores, size // DEALT_PART)
+    return table.repartition(parts) if parts > 1 and len(table.inputFiles()) < cores else table
+
+
 def settle(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` computed and kept in the shared folder, without its lineage; what it replaces in a loop is deleted."""
     sc = df.sparkSession.sparkContext

@@ -127,3 +127,20 @@ def test_letters_stop_at_a_long_sequence(spark, tmp_path):
     count = lambda most: S.letters_until(g, most).groupBy("seq_id").count().count()
     assert [count(m) for m in (1, 3, 4, 99)] == [1, 2, 4, 5]
     assert S.letters_until(g, 4).columns == g.columns
+
+
+def test_small_tables_are_dealt(spark, tmp_path):
+    from seqloom.session import DEALT_PART, dealt
+
+    rows = spark.range(60_000).selectExpr("id", "sha2(cast(id as string), 512) t")
+    one, many, tiny = (str(tmp_path / n) for n in ("one", "many", "tiny"))
+    rows.coalesce(1).write.parquet(one)
+    cores = spark.sparkContext.defaultParallelism
+    rows.repartition(cores).write.parquet(many)
+    rows.limit(DEALT_PART // 1024).coalesce(1).write.parquet(tiny)
+    table = spark.read.parquet(one)
+    got = dealt(table)
+    assert got.rdd.getNumPartitions() == cores and max(got.rdd.glom().map(len).collect()) < 60_000
+    assert got.exceptAll(table).isEmpty() and table.exceptAll(got).isEmpty()
+    for path in (many, tiny):
+        assert "Exchange" not in dealt(spark.read.parquet(path))._jdf.queryExecution().toString()
