@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import language_id, mixing, near_dedup, packing, quality_rules
 from seqloom.llm.common import DOCUMENT_COLUMNS, Scratch, table
+from seqloom.session import dealt
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ STAGES = [("languages", languages), ("rules", rules), ("duplicates", duplicates)
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs
