@@ -80,9 +80,20 @@ class Fragments(dict):
 
     longest = 64  # longer ones are rare, and are not remembered
 
-    def __init__(self, encode, blank: str):
+    def __init__(self, encode, blank: str, opens: np.ndarray | None = None):
         super().__init__()
-        self.encode, self.blank = encode, blank
+        self.encode, self.blank, self.opens = encode, blank, opens
+
+    def learn(self, words: list[str]) -> None:
+        """New fragments of a text in one call: the tokens that open with a blank part them again."""
+        new = [w for w in set(words) if w not in self and 0 < len(w) <= self.longest]
+        if self.opens is None or len(new) < 2:
+            return
+        ids = np.array(self.encode(" " + " ".join(new), True), "<u4")
+        at = np.flatnonzero(self.opens[ids]) * 4
+        if len(at) == len(new):  # else each is encoded when it is asked for
+            raw, cuts = ids.tobytes(), [*at.tolist(), 4 * len(ids)]
+            self.update((w, raw[a:b]) for w, a, b in zip(new, cuts, cuts[1:]))
 
     def __missing__(self, word: str) -> bytes:
         ids = array("I", self.encode(self.blank + word)).tobytes()
@@ -93,6 +104,9 @@ class Fragments(dict):
 
 #: a single blank between visible characters, which no token crosses
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: blanks that are no space
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_ASCII_BLANKS = [c for c in _BLANKS if c.isascii()]
 
 
 def parts_of(text: str, most: int) -> list[str]:
@@ -112,7 +126,7 @@ class Encoder:
     Of other texts (runs of blanks, blanks at an end, special tokens), and of long ones, the parts of ``part``
     characters that are so inside go to the tokenizer whole, and the rest by fragments.
     With ``ranks``, new fragments are encoded from the same vocabulary's byte ranks, which gives
-    the same ids several times faster.  At most ``most`` fragments are remembered.
+    the same ids several times faster, those of a text together.  At most ``most`` fragments are remembered.
     """
 
     def __init__(self, path: str, ranks: str | None = None, most: int = 200_000, part: int = 512):
@@ -121,7 +135,7 @@ class Encoder:
 
         self.tok, self.most, self.part = Tokenizer.from_file(path), most, part
         slow = lambda w: self.tok.encode(w, add_special_tokens=False).ids
-        encode = slow
+        encode, opens = slow, None
         if ranks:
             import base64
 
@@ -132,21 +146,30 @@ class Encoder:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
             # a very long fragment would take the square of its length there
-            encode = lambda w: fast(w) if len(w) < 4096 else slow(w)
-        self.first, self.rest = Fragments(encode, ""), Fragments(encode, " ")
+            encode = lambda w, many=False: fast(w) if many or len(w) < 4096 else slow(w)
+            opens = np.zeros(max(merges.values()) + 1, bool)
+            opens[[i for token, i in merges.items() if token.startswith(b" ")]] = True
+        self.first, self.rest = Fragments(encode, ""), Fragments(encode, " ", opens)
         tokens = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        special = "|".join(map(re.escape, tokens))
-        self.odd = re.compile(r"^\s| \s|\s |\s$" + f"|{special}" * bool(special)).search
+        self.special = [t for t in tokens if t]
         self.seams = not any(" " in t for t in tokens)
 
+    def odd(self, text: str) -> bool:
+        """Whether a blank is at an end or beside a space, or a special token occurs."""
+        if text[:1].isspace() or text[-1:].isspace() or "  " in text:
+            return True
+        blanks = _ASCII_BLANKS if text.isascii() else _BLANKS
+        return any(b in text and (f" {b}" in text or f"{b} " in text) for b in blanks) or any(t in text for t in self.special)
+
     def _text(self, text: str) -> bytes:
-        known, out = self.first, []
-        parts = parts_of(text, self.part) if self.seams and (len(text) > 1 << 16 or self.odd(text)) else [text]
+        known, out, odd = self.first, [], self.odd(text)
+        parts = parts_of(text, self.part) if self.seams and (odd or len(text) > 1 << 16) else [text]
         for part in parts:
-            if self.odd(part):
+            if odd and (len(parts) == 1 or self.odd(part)):
                 out.append(array("I", self.tok.encode(known.blank + part, add_special_tokens=False).ids).tobytes())
             else:
                 head, *rest = part.split(" ")
+                self.rest.learn(rest)
                 out.append(known[head] + b"".join(map(self.rest.__getitem__, rest)))
             known = self.rest
         return out[0] if len(out) == 1 else b"".join(out)
