@@ -7,7 +7,8 @@ distance, keeps the best ``k``, and a query is done when its k-th distance is be
 ``segments * (r + 1)``: nothing nearer can be left.  Only queries not yet done go on.
 
 Rows with equal codes are one entry with its ``k`` least ids, so a hot code is one row; equal
-queries are one query.  A lookup hands on only what beats the query's k-th best so far.  Both sides of a lookup are shuffled on (segment, value); hot segment values
+queries are one query.  A lookup hands on only what beats the query's k-th best so far.  Both sides of a lookup are shuffled on (segment, value) and merged,
+whatever their estimated size: lookups are made from a small table, by a row a probe, and would reach the driver as a broadcast.  Hot segment values
 are split by adaptive execution.  Where a round's lookups would outnumber the codes, the queries
 left are held against all codes in blocks instead, which is exact as well.
 
@@ -48,6 +49,11 @@ def flips(width: int, r: int) -> list[int]:
     return out
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """To be shuffled and sorted where it is joined; Spark's estimate does not count what ``explode`` adds."""
+    return df.hint("merge")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """Per query the k best of (d, id), by a map-side combined minimum list."""
     kept = F.expr(f"slice(array_sort(collect_set(struct(d, id))), 1, {k})")
@@ -87,7 +93,7 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, s
         look = parted(open_, "bound", "bound_id").withColumnRenamed("code", "query").withColumn("value", F.explode(F.transform(masks, lambda x: F.col("value").bitwiseXOR(x))))
         d = F.bit_count(look["query"].bitwiseXOR(table["code"]))
         better = (d < look["bound"]) | ((d == look["bound"]) & (table["ids"][0] < look["bound_id"]))
-        met = look.join(table, (look["s"] == table["s"]) & (look["value"] == table["value"]) & better).select("query", "code", "ids").dropDuplicates(["query", "code"])
+        met = look.join(_merged(table), (look["s"] == table["s"]) & (look["value"] == table["value"]) & better).select("query", "code", "ids").dropDuplicates(["query", "code"])
         found = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("d"), F.explode("ids").alias("id"))
         if best is not None:
             found = found.unionByName(best.select("query", F.explode("best").alias("b")).select("query", "b.d", "b.id"))
@@ -96,7 +102,7 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, s
         proved = full & (last["d"] < m * (r + 1))
         done.append(scratch.table(best.where(proved), f"done{r}"))
         known = best.select(F.col("query").alias("code"), F.when(full, last["d"]).otherwise(bits + 1).alias("bound"), F.when(full, last["id"]).otherwise(0).alias("bound_id"), proved.alias("proved"))
-        open_ = open_.select("code").join(known, "code", "left").where(~F.coalesce("proved", F.lit(False)))
+        open_ = open_.select("code").join(_merged(known), "code", "left").where(~F.coalesce("proved", F.lit(False)))
         open_ = scratch.table(open_.select("code", F.coalesce("bound", none["bound"]).alias("bound"), F.coalesce("bound_id", none["bound_id"]).alias("bound_id")), f"open{r}")
         best = best.where(~proved)
         n_asked, r = open_.count(), r + 1
@@ -105,7 +111,7 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, s
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = queries.select(F.col("id").alias("asked"), "code").distinct().join(out.withColumnRenamed("query", "code"), "code")
+    out = queries.select(F.col("id").alias("asked"), "code").distinct().join(_merged(out.withColumnRenamed("query", "code")), "code")
     out = out.select("asked", F.posexplode("best").alias("rank", "b"))
     return out.select(F.col("asked").alias("query"), (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.d").cast("int").alias("distance"))
 

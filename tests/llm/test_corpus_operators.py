@@ -280,6 +280,23 @@ def test_scan_is_exact_and_small_tables_are_whole(spark):
     assert [(r["id"], r["distance"]) for r in few] == brute_top(codes[:3], codes[:1], 10)[0]
 
 
+def test_top_k_broadcasts_no_lookups(spark, monkeypatch):
+    """The asked codes are a small table, but their probes are many rows: none may pass through the driver."""
+    rng = np.random.default_rng(8)
+    codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63 - 1, 400))]
+    df, plans, table = spark.createDataFrame(codes, "id long, code long"), [], topk.Scratch.table
+
+    def planned(self, made, name):
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        return table(self, made, name)
+
+    monkeypatch.setattr(topk.Scratch, "table", planned)
+    found = topk.top_k(df, df.where("id % 100 = 0"), 5)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert found.count() == 20
+
+
 def test_top_k_odd_rows(spark):
     v = [0.5] * 64
     rows = [(0, v, 1), (0, v, 1), (1, None, 2), (None, v, 3), (2, [0.1], 4), (3, [float("nan")] * 64, 5), (4, [-x for x in v], 6), (5, [None] * 64, 7)]
