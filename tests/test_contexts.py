@@ -35,3 +35,19 @@ def test_templates_are_counted_where_all_their_words_are():
             assert words == [0] and ends == {(0,): [], (0, 1): [1], (0, 2): [-1]}[columns]
         else:
             assert [contexts._PLACES[kind][c] - place for c in columns] == words and not ends and columns[:2] == (0, 1)
+
+
+def test_sums_of_information_as_the_vectors_have_them(corpus):
+    vectors = tokens.pmi_vectors(tokens.context_features(corpus, text_queries.SUFFIXES))
+    per = vectors.groupBy(F.substring_index("feature", "=", 1).alias("prefix")).agg(F.count("*").alias("n"), F.avg("pmi").alias("avg_pmi"), F.sum(F.col("value") * F.col("value")).alias("mass"))
+    want = {r["prefix"]: r for r in per.collect()}
+    got = contexts.pmi_summary(corpus, text_queries.SUFFIXES).collect()
+    assert {r["prefix"] for r in got} == set(want) == set(tokens.TEMPLATES)
+    for r in got:
+        assert r["n"] == want[r["prefix"]]["n"]
+        assert (r["avg_pmi"], r["mass"]) == pytest.approx((want[r["prefix"]]["avg_pmi"], want[r["prefix"]]["mass"]), abs=1e-9)
+
+
+def test_joint_counts_are_not_shuffled_by_row(spark, sf_dir):
+    plan = text_queries.document_pmi(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
