@@ -110,3 +110,27 @@ def test_places_drawn_equal_members_drawn(spark):
     pool = spark.range(40, 60).withColumnRenamed("id", "seq_id")
     want = sampling.draw(list(range(40, 60)), 8)
     assert [r["seq_id"] for r in sampling.draw_fold(pool, 4, 2, 1).collect()] == want[4:]
+
+
+def test_copies_of_a_node_do_not_grow_with_the_nodes():
+    """A node is copied once a part: parts follow the cores until one holds what a task may, and the rest is a part each of that."""
+    assert graph._parts(100_000, 6_400_000, 12, 2048) == graph._parts(500_000, 32_000_000, 12, 2048) == 8
+    assert graph._parts(1_000, 64_000, 12, 2048) == 1
+    assert graph._parts(10 * graph.HELD_NODES, 640 * graph.HELD_NODES, 12, 2048) == 10
+
+
+def test_few_parts_are_compared_in_tiles(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)  # many ties and copies
+    x = x[np.abs(x).sum(1) > 0]
+    df = spark.createDataFrame([(i * 3 % len(x), v.tolist()) for i, v in enumerate(x)] if len(x) % 3 else [(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    unit = graph.unit_vectors(df, "id", "v")
+    held = {r["node"]: np.array(r["vector"]) for r in unit.collect()}
+    tiles = graph.nearest(unit, 4, block=32)
+    assert graph._parts(len(held), 3 * len(held), spark.sparkContext.defaultParallelism, 32) < len(held) / 32
+    got = {}
+    for r in tiles.collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    for a, v in held.items():
+        sims = sorted((-round(float(v @ w), 9), b) for b, w in held.items() if b != a)
+        assert [d for _, d in sorted(got.get(a, []))] == [b for s, b in sims if s < 0][:4]
