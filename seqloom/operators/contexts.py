@@ -1,4 +1,4 @@
-"""Counts and mutual information of context features over whole corpora.
+"""Counts of words, trigrams and context features over whole corpora, and the features' mutual information.
 
 Sixteen feature strings a token are too much to shuffle.  A feature is a choice of words near its token, so
 words meet instead: a record is a few neighbouring words under a key that is part of every feature counted
@@ -88,11 +88,11 @@ def _words(part: dict) -> pa.Array:
     return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(_codec().decompress(text, n, asbytes=True) if n else b""))
 
 
-def _together(parts: list[dict]) -> list[np.ndarray]:
-    """For each part the number of each of its words, in one numbering."""
+def _together(parts: list[dict]) -> tuple[list[np.ndarray], pa.Array]:
+    """For each part the number of each of its words, in one numbering; the words so numbered."""
     own = [_words(p) for p in parts]
-    at = pa.concat_arrays(own).dictionary_encode().indices.to_numpy()
-    return np.split(at, np.cumsum([len(w) for w in own])[:-1])
+    whole = pa.concat_arrays(own).dictionary_encode()
+    return np.split(whole.indices.to_numpy(), np.cumsum([len(w) for w in own])[:-1]), whole.dictionary
 
 
 def _columns(parts: list[dict], numbers: list[np.ndarray], name: str) -> list[np.ndarray]:
@@ -243,6 +243,12 @@ def _counts(kind: int, parts: list[dict], numbers: list[np.ndarray]) -> Iterator
             yield name, ranks[used], np.bincount(ranks[used][on], times[on]), on
 
 
+def _grams(own: _Chunk, centre: np.ndarray, buckets: int, around: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams of these places, ``around`` with the words beside them, by bucket: as of :func:`_distinct`."""
+    columns = [own.plain[centre - 1], own.plain[centre], own.plain[centre + 1]] + ([own.low[centre - 2], own.low[centre + 2]] if around else [])
+    return _distinct(columns, *own.buckets(columns, 3, buckets))
+
+
 def _read(batches) -> tuple[list[int], list[dict]]:
     """Chunks and parts of one bucket, in the chunks' order."""
     rows = [(r["chunk"], r["packed"]) for batch in batches for r in batch.to_pylist()]
@@ -269,6 +275,91 @@ def _buckets(sequences: DataFrame) -> int:
 _ENGLISH = r"\A[.,!?:;]+\z"
 
 
+def _met_grams(sequences: DataFrame, punctuation: str, buckets: int) -> DataFrame:
+    """Trigrams of every chunk, met by bucket; a chunk's number of tokens goes to one of them."""
+
+    def send(batches):
+        for chunk, words, at, sizes in _chunks(batches):
+            own = _Chunk(words, at, sizes, [], punctuation)
+            columns, bucket, times, _ = _grams(own, np.flatnonzero(own.centre), buckets, False)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                part = slice(cuts[b], cuts[b + 1])
+                yield _batch([(chunk, int(b), _pack(own.words, {"gram": [c[part] for c in columns]}, times=times[part]))])
+            yield _batch([(chunk, zlib.crc32(str(chunk).encode()) % buckets, pickle.dumps({"tokens": len(at)}))])
+
+    return sequences.select("tokens").mapInArrow(send, _SCHEMA).repartitionById(buckets, F.col("bucket"))
+
+
+def _counted_grams(parts: list[dict]) -> tuple[list[np.ndarray], pa.Array, np.ndarray]:
+    """Columns of words of a bucket's distinct trigrams, the words, and how often each occurs."""
+    numbers, words = _together(parts)
+    columns = _columns(parts, numbers, "gram")
+    gram = _rank(*columns)
+    gram = pd.factorize(gram)[0]
+    times = np.bincount(gram, _joined(parts, "times")).astype(np.int64)
+    one = np.empty(len(times), np.int64)
+    one[gram] = np.arange(len(gram))
+    return [c[one] for c in columns], words, times
+
+
+def trigrams(sequences: DataFrame, punctuation: str = _ENGLISH) -> DataFrame:
+    """(ngram, freq) of the n-grams of :func:`tokens.ngrams` around tokens that are no punctuation."""
+
+    def run(batches):
+        parts = [p for p in _read(batches)[1] if "gram" in p]
+        if parts:
+            columns, words, times = _counted_grams(parts)
+            for lo in range(0, len(times), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                text = pc.binary_join_element_wise(*[words.take(pa.array(c[part])) for c in columns], " ")
+                yield pa.RecordBatch.from_arrays([text, pa.array(times[part])], names=["ngram", "freq"])
+
+    return _met_grams(sequences, punctuation, _buckets(sequences)).mapInArrow(run, "ngram string, freq long")
+
+
+def trigram_coverage(sequences: DataFrame, least: int = 2, punctuation: str = _ENGLISH) -> DataFrame:
+    """One row: tokens whose trigram is in the index of those that occur ``least`` times, and other tokens.
+
+    A lookup pads an odd n-gram as the index does, so a trigram's occurrences are found or not as one, and counts tell.
+    """
+
+    def run(batches):
+        _, parts = _read(batches)
+        tokens, parts = sum(p.get("tokens", 0) for p in parts), [p for p in parts if "gram" in p]
+        times = _counted_grams(parts)[2] if parts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([int(times[times >= least].sum())]), pa.array([tokens])], names=["covered", "tokens"])
+
+    met = _met_grams(sequences, punctuation, _buckets(sequences)).mapInArrow(run, "covered long, tokens long")
+    covered = F.coalesce(F.sum("covered"), F.lit(0))
+    return met.agg(covered.alias("covered"), (F.coalesce(F.sum("tokens"), F.lit(0)) - covered).alias("uncovered"))
+
+
+def vocabulary(sequences: DataFrame) -> DataFrame:
+    """(token, n, first_seq, first_pos) of ``sequences(seq_id, tokens)``, as :func:`tokens.vocabulary` has them; counted in chunks first."""
+    low = np.iinfo(np.int64).min  # null comes first
+
+    def run(batches):
+        for batch in batches:
+            lo = 0
+            for tokens, sizes in _lists(batch.select(["tokens"])):
+                seq = pc.fill_null(batch.column("seq_id").slice(lo, len(sizes)), low).to_numpy(zero_copy_only=False)
+                lo += len(sizes)
+                codes = tokens.dictionary_encode()
+                at = codes.indices.to_numpy()
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                pos = np.arange(len(at)) - (np.cumsum(sizes) - sizes)[of]
+                order = np.lexsort((pos, seq[of]))
+                some, first = np.unique(at[order], return_index=True)
+                first = order[first]
+                seqs = seq[of[first]]
+                yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(some)), pa.array(np.bincount(at, minlength=len(codes.dictionary))[some]), pa.array(seqs, mask=seqs == low), pa.array(pos[first].astype(np.int32))], names=["token", "n", "seq", "pos"])
+
+    some = sequences.select("seq_id", "tokens").mapInArrow(run, "token string, n long, seq long, pos int")
+    out = some.groupBy("token").agg(F.sum("n").alias("n"), F.min(F.struct("seq", "pos")).alias("f"))
+    return out.select("token", "n", F.col("f.seq").alias("first_seq"), F.col("f.pos").alias("first_pos"))
+
+
 def feature_kinds(sequences: DataFrame, suffixes: list[str], punctuation: str = _ENGLISH) -> DataFrame:
     """(prefix, n, n_distinct) of the context features of ``sequences(tokens)``, by template."""
     buckets, schema = _buckets(sequences), "prefix string, n long, n_distinct long"
@@ -280,7 +371,7 @@ def feature_kinds(sequences: DataFrame, suffixes: list[str], punctuation: str =
     def count(batches):
         _, parts = _read(batches)
         if parts:
-            numbers = _together(parts)
+            numbers, _ = _together(parts)
             for kind in range(3):
                 yield _table([(name, int(times.sum()), int(np.count_nonzero(times))) for name, _, times, _ in _counts(kind, parts, numbers)], schema)
 
@@ -314,7 +405,7 @@ def pmi_summary(sequences: DataFrame, suffixes: list[str], punctuation: str = _E
         chunks, parts = _read(batches)
         if not parts:
             return
-        numbers, back = _together(parts), [{} for _ in parts]
+        numbers, back = _together(parts)[0], [{} for _ in parts]
         for kind in range(3):
             cuts = np.cumsum([p[f"times{kind}"][0] for p in parts])[:-1]
             for name, number, times, on in _counts(kind, parts, numbers):
@@ -348,8 +439,7 @@ def pmi_summary(sequences: DataFrame, suffixes: list[str], punctuation: str = _E
                 sums = [(t, len(v), float(v.sum()), float(np.divide(v * v, norm, out=np.zeros(len(v)), where=norm > 0).sum())) for t, v in pmi.items()]
                 yield _batch([(chunk, zlib.crc32(str(chunk).encode()) % buckets, pickle.dumps({"sums": sums}))])
             centre, occur = centre[~once], {t: v[~once] for t, v in occur.items()}
-            columns = [own.plain[centre - 1], own.plain[centre], own.plain[centre + 1], own.low[centre - 2], own.low[centre + 2]]
-            columns, bucket, times, record = _distinct(columns, *own.buckets(columns, 3, buckets))
+            columns, bucket, times, record = _grams(own, centre, buckets, True)
             one = np.empty(len(times), np.int64)
             one[record] = np.arange(len(record))
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -377,7 +467,7 @@ def pmi_summary(sequences: DataFrame, suffixes: list[str], punctuation: str = _E
             yield _table([x for sums in known for x in sums], schema)
         if not parts:
             return
-        columns, times = _columns(parts, _together(parts), "gram"), _joined(parts, "times")
+        columns, times = _columns(parts, _together(parts)[0], "gram"), _joined(parts, "times")
         gram = _rank(*columns[:3])
         before = _rank(gram, columns[3])
         joints = (gram, before, _rank(gram, columns[4]), _rank(before, columns[4]))

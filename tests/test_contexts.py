@@ -51,3 +51,44 @@ def test_sums_of_information_as_the_vectors_have_them(corpus):
 def test_joint_counts_are_not_shuffled_by_row(spark, sf_dir):
     plan = text_queries.document_pmi(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_trigrams_and_their_coverage(corpus):
+    index = tokens.ngrams(corpus).where("ngram is not null").groupBy("ngram").agg(F.count("*").alias("freq"))
+    assert sorted(map(tuple, contexts.trigrams(corpus).collect())) == sorted(map(tuple, index.collect()))
+    found = tokens.ngrams(corpus, lookup=True).join(index.where("freq >= 2"), "ngram", "left").agg(F.count("freq"), F.count("*") - F.count("freq"))
+    assert tuple(contexts.trigram_coverage(corpus).first()) == tuple(found.first())
+
+
+def test_trigrams_of_nothing(spark):
+    none = spark.createDataFrame([], "seq_id long, tokens array<string>")
+    assert contexts.trigrams(none).count() == contexts.feature_kinds(none, []).count() == contexts.vocabulary(none).count() == 0
+    assert tuple(contexts.trigram_coverage(none).first()) == (0, 0)
+
+
+def test_index_is_looked_up_without_a_join(spark, sf_dir):
+    plan = text_queries.trigram_lookup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_reduce_tasks_follow_the_input_not_the_session(spark, sf_dir):
+    """Of a larger table more buckets are made, each of as many bytes."""
+    n = len(spark.read.parquet(f"{sf_dir}/documents.parquet").inputFiles())
+    frame = text_queries.documents_as_sequences(spark, sf_dir)
+    assert n and contexts._buckets(frame) == spark.sparkContext.defaultParallelism
+    contexts.BUCKET, kept = 10_000, contexts.BUCKET
+    try:
+        assert contexts._buckets(frame) > spark.sparkContext.defaultParallelism
+        assert text_queries.trigram_nodes(spark, sf_dir).rdd.getNumPartitions() == contexts._buckets(frame)
+    finally:
+        contexts.BUCKET = kept
+
+
+def test_vocabulary_with_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(contexts, "CHUNK", 5)
+    rows = [(7, ["a", "b", "c"]), (3, ["c", "c", "a"]), (3, ["x", "b"]), (None, ["c", "z"]), (9, []), (1, None), (3, ["q", "x", "x"])]
+    seqs = spark.createDataFrame(rows, "seq_id long, tokens array<string>").coalesce(1)
+    plain = tokens.vocabulary(seqs.select("seq_id", F.posexplode("tokens").alias("pos", "token")))
+    assert sorted(map(str, contexts.vocabulary(seqs).collect())) == sorted(map(str, plain.collect()))
+    plan = text_queries.tokens.vocabulary and contexts.vocabulary(seqs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row a token
